@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import numfmt
 
@@ -85,7 +86,7 @@ def _compiled_date(section: numfmt.Section, v: Column) -> Column | None:
     return F.when((v >= 61) & (v < 2_900_000), F.date_format(day, pattern))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _render(code: pd.Series, t: pd.Series, vn: pd.Series, vs: pd.Series, vb: pd.Series, epoch: pd.Series) -> pd.Series:
     out = []
     for c, k, n, s, b, e in zip(code, t, vn, vs, vb, epoch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom import schema
 from gridloom.functions.formula import without_spaces
@@ -12,7 +13,7 @@ from gridloom.operators.store import last_wins
 VALUES = ["t", "vn", "vs", "vb", "d", "f", "fmt"]
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _squeeze(text):
     return None if text is None else without_spaces(text)
 

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.numfmt import shortest
 
@@ -14,7 +15,7 @@ from gridloom.functions.numfmt import shortest
 DROPPED = ("formulas (values are exported)", "number formats (displays are exported)", "styles", "merged ranges", "column widths and row heights", "other sheets")
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _shortest(x):
     return None if x is None else shortest(x)
 
