@@ -139,7 +139,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [features(t) for t in batch["text"]]
         at = [np.flatnonzero(r) for r in rows]
-        yield pd.DataFrame({"post": batch["post"], "at": at, "value": [r[k] for r, k in zip(rows, at)]})
+        yield pd.DataFrame({"u": batch["__u"], "post": batch["post"], "at": at, "value": [r[k] for r, k in zip(rows, at)]})
 
 
 def _score(weights: np.ndarray, fallback: float):
@@ -175,7 +175,8 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = cut(sample.join(F.broadcast(table), same).select("__u", "post").dropDuplicates(["__u"]))
     keyed = rows.withColumn("__u", unit)
     picked = keyed.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "__u").select("__u", "text", "post")
-    learn = picked.select("post", "text").mapInPandas(_featurise, "post double, at array<int>, value array<float>").limit(2 * fit_rows).collect()
+    made = picked.select("__u", "post", "text").mapInPandas(_featurise, "u long, post double, at array<int>, value array<float>")
+    learn = made.orderBy("u").limit(2 * fit_rows).collect()  # bounded also where ids are repeated
     x = np.zeros((len(learn), BUCKETS), dtype=np.float32)
     for k, r in enumerate(learn):
         x[k, r["at"]] = r["value"]

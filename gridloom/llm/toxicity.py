@@ -167,7 +167,7 @@ def predict(chain: list[Link], buckets: set[int]) -> list[float]:
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"y": batch["y"], "at": [np.fromiter(sorted(word_buckets(t)), dtype=np.int32) for t in batch["text"]]})
+        yield pd.DataFrame({"u": batch["__u"], "y": batch["y"], "at": [np.fromiter(sorted(word_buckets(t)), dtype=np.int32) for t in batch["text"]]})
 
 
 def _scores(chain: list[Link], names: list[str]):
@@ -185,8 +185,9 @@ def learn_chain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = known.select(F.col(id_col).alias("__id"), y.alias("y"), F.xxhash64(id_col, F.lit("fit")).alias("__u"))
     sample = cut(known.orderBy("__u", "__id").limit(fit_rows))  # top rows of each task, then of all: bounded
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "__id").select("__id", "y", "text")
-    rows = joined.select("y", "text").mapInPandas(_examples, "y array<int>, at array<int>").limit(2 * fit_rows).collect()
+    joined = texts.join(F.broadcast(sample), "__id").select("__u", "y", "text")
+    made = joined.mapInPandas(_examples, "u long, y array<int>, at array<int>")
+    rows = made.orderBy("u").limit(2 * fit_rows).collect()  # bounded also where ids are repeated
     if not rows:
         return None
     at = [np.asarray(r["at"], dtype=np.int64) for r in rows]
