@@ -142,7 +142,7 @@ def _true_neighbours(vkeys: list[bytes], queries: np.ndarray, count: int):
 def _search(dim: int, count: int):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"qkey": [], "ids": [], "score": []})
+            return pd.DataFrame([], columns=["qkey", "ids", "score"])  # untyped columns turn into any Arrow type
         m = np.frombuffer(b"".join(rows["vec"]), dtype="<f8").reshape(len(rows), dim)
         reps, ids = np.array([int(x[0]) for x in rows["ids"]]), list(rows["ids"])
         out = []
