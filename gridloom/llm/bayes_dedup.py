@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, lookup
+from .common import HOT_SHARE, cut, hot_keys, lookup
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -174,8 +174,8 @@ def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b) those that signatures do not rule out, with their agreements of HASHES."""
-    one = lookup(pairs, sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a", hot_keys(pairs, "a"), "inner")
-    both = lookup(one, sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b", hot_keys(pairs, "b"), "inner")
+    one = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    both = one.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     return cut(both.mapInPandas(_prune, "a long, b long, agreed int"))
 
 
@@ -210,7 +210,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough. ``texts``: (node, text); of a repeated node one text counts."""
     wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     held = likely_among(texts, "node", wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    one = lookup(pairs, held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", hot_keys(pairs, "b"), "inner")
+    one = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     # Texts may be long, so fewer of them count as hot than elsewhere.
     both = lookup(one, held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", hot_keys(pairs, "a", share=64), "inner")
     return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"))
@@ -220,7 +220,7 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not yet known to be in one component."""
     for end in ("a", "b"):
         to = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = lookup(pairs, to, end, hot_keys(pairs, end)).withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        pairs = pairs.join(to, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     return pairs.filter("root_a <> root_b").select("a", "b")
 
 
@@ -235,8 +235,7 @@ def _pairs_within(rows: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame) -> DataFrame:
     """``rows`` (key, node, root) of the keys that hold several components, with the key's count n."""
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    stats = stats.filter("lo <> hi").select("key", "n")
-    return cut(lookup(rows, stats, "key", hot_keys(rows, "key"), "inner"))
+    return cut(rows.join(cut(stats.filter("lo <> hi").select("key", "n")), "key"))
 
 
 def _leads(rows: DataFrame, key: str = "key") -> DataFrame:
@@ -253,21 +252,21 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 def open_pairs(buckets: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     """Candidate pairs across components. ``buckets``: (key, node) of all buckets that hold two classes or more."""
-    rows = lookup(buckets, roots, "node", []).withColumn("root", F.coalesce("root", "node"))
+    rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = _mixed(rows.select("key", "node", "root"))
     out = _pairs_within(rows.filter(F.col("n") <= SMALL))
     large = rows.filter(F.col("n") > SMALL)
     if large.isEmpty():
         return out
     # Two further keys of three values each, from places that the bucket's key says.
-    own = lookup(large.select("key", "node", "root"), sigs, "node", [], "inner")
+    own = large.select("key", "node", "root").join(sigs, "node")
     more = [F.struct(F.lit(k).alias("k"), F.substring("sig", F.pmod(F.shiftright("key", 20 * k), F.lit(HASHES - 2)).cast("int") + 1, F.lit(3)).alias("v")) for k in range(2)]
     split = own.select("node", "root", F.explode(F.array(*[F.xxhash64("key", m) for m in more])).alias("key"))
     met = _mixed(cut(split))
     out = out.unionByName(_pairs_within(met.filter(F.col("n") <= SMALL)))
     crowded = met.filter(F.col("n") > SMALL).select("key", "node")
     leads = cut(_leads(crowded)).select("key", "lead", "other")
-    stars = _stars(lookup(crowded, leads, "key", hot_keys(crowded, "key"), "inner"))
+    stars = _stars(crowded.join(leads, "key"))
     return out.unionByName(_across(cut(stars), roots)).distinct()
 
 
@@ -277,7 +276,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.explode("bands").alias("key"))
     leads = cut(_leads(keys).filter("n > 1"))
     total = leads.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in leads.filter(F.col("n") > total / 512).select("key").collect()]  # < 512 keys
+    hot = [r[0] for r in leads.filter(F.col("n") > total / HOT_SHARE).select("key").collect()]  # < HOT_SHARE keys
     buckets = cut(lookup(keys, leads.select("key", "lead", "other"), "key", hot, "inner"))
     likely = prune(cut(_stars(buckets)), sigs)
     best = likely.groupBy("b").agg(F.max(F.struct("agreed", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
@@ -300,16 +299,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = cut(rows.mapInPandas(_sketch, SKETCH))
     members = base.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(members.groupBy("set_key").agg(F.min("doc_id").alias("node")))
+    classes = cut(members.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
     # An id that is repeated with other texts is the node of several classes; the first by key stands for it.
     chosen = classes.groupBy("node").agg(F.min("set_key").alias("set_key"))
     found = members.select("set_key", F.col("doc_id").alias("node"), "sig", "bands").join(chosen, ["set_key", "node"], "left_semi")
     texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
     nodes = cut(found.dropDuplicates(["node"]).select("node", "sig", "bands"))
     roots = similar_components(nodes, texts)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in classes.filter(F.col("n") > total / HOT_SHARE).select("set_key").collect()]  # < HOT_SHARE
     groups = classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     keyed = base.select("doc_id", "n_shingles", "set_key")
-    out = lookup(keyed.filter("set_key IS NOT NULL"), groups, "set_key", hot_keys(members, "set_key"))
+    out = lookup(keyed.filter("set_key IS NOT NULL"), groups, "set_key", hot)
     out = out.select("doc_id", "n_shingles", "root").unionByName(keyed.filter("set_key IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -1,8 +1,8 @@
 """Connected components of a distributed graph by contraction.
 
 Each round hooks every node to its smallest neighbour, follows the hooks to their roots by pointer jumping, and
-contracts the edges to edges between roots, until none is left. Nothing but row counts and hot keys (fewer than 512
-of a table) reaches the driver, and hubs are looked up by broadcast of their rows alone.
+contracts the edges to edges between roots, until none is left. Nothing but flags reaches the driver. Every join has
+checkpointed rows of two numbers on both sides, so that adaptive execution can split a hub's rows over tasks.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, lookup
+from .common import cut
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
     """(node, root) from (node, root) in which a root is smaller than its node or is itself, followed to the end."""
     while True:
         parents = hooks.select(F.col("node").alias("root"), F.col("root").alias("__next"))
-        jumped = lookup(hooks, parents, "root", hot_keys(hooks, "root"))
+        jumped = hooks.join(parents, "root", "left")
         jumped = cut(jumped.select("node", F.coalesce("__next", "root").alias("next"), (F.coalesce("__next", "root") != F.col("root")).alias("moved")))
         hooks = jumped.select("node", F.col("next").alias("root"))
         if jumped.filter("moved").isEmpty():
@@ -36,11 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = hooks
         else:
-            labels = lookup(labels, step, "root", hot_keys(labels, "root"))
+            labels = labels.join(step, "root", "left")
             labels = cut(labels.select("node", F.coalesce("__to", "root").alias("root")))
         for end in ("a", "b"):
             to = hooks.select(F.col("node").alias(end), F.col("root").alias("__to"))
-            moved = lookup(edges, to, end, hot_keys(edges, end), "inner")
-            edges = cut(moved.drop(end).withColumnRenamed("__to", end).select("a", "b"))
+            edges = edges.join(to, end).drop(end).withColumnRenamed("__to", end).select("a", "b")
         edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
