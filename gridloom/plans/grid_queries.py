@@ -242,14 +242,14 @@ def formula_filldown_margin(spark, sf_dir):
 
     line = table(spark, sf_dir, "lineitem")
     names = {0: "l_extendedprice", 1: "l_discount", 2: "l_tax"}
-    return line.select(*LINE_KEY, compile_row("A1*(1-B1)*(1+C1)", {c: (F.lit("n"), F.col(n)) for c, n in names.items()})["vn"].alias("margin"))
+    return line.select(*LINE_KEY, compile_row("A1*(1-B1)*(1+C1)", {c: ("n", F.col(n)) for c, n in names.items()})["vn"].alias("margin"))
 
 
 @query("formula_guarded_ratio", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount / l_tax END AS vn, CASE WHEN l_tax = 0 THEN '#DIV/0!' END AS vs FROM lineitem")
 def formula_guarded_ratio(spark, sf_dir):
     from gridloom.functions.compile import compile_row
 
-    out = compile_row("A1/B1", {0: (F.lit("n"), F.col("l_discount")), 1: (F.lit("n"), F.col("l_tax"))})
+    out = compile_row("A1/B1", {0: ("n", F.col("l_discount")), 1: ("n", F.col("l_tax"))})
     return table(spark, sf_dir, "lineitem").select(*LINE_KEY, out["vn"].alias("vn"), out["vs"].alias("vs"))
 
 
@@ -257,7 +257,7 @@ def formula_guarded_ratio(spark, sf_dir):
 def formula_compare_rank(spark, sf_dir):
     from gridloom.functions.compile import compile_row
 
-    out = compile_row('AND(A1<20,B1<"Brand#3")', {0: (F.lit("n"), F.col("p_size").cast("double")), 1: (F.lit("s"), F.col("p_brand"))})
+    out = compile_row('AND(A1<20,B1<"Brand#3")', {0: ("n", F.col("p_size").cast("double")), 1: ("s", F.col("p_brand"))})
     return table(spark, sf_dir, "part").select("p_partkey", out["vb"].alias("small"))
 
 
