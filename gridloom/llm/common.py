@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,7 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint(eager=True)
+    # The rows are in the shared folder when this returns, so the shuffles that made them can go at once; else they stay
+    # until the driver happens to collect its garbage. The setting holds for plans that are made under it.
+    conf = df.sparkSession.conf
+    before = conf.get(TIDY, None)
+    conf.set(TIDY, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            conf.unset(TIDY)
+        else:
+            conf.set(TIDY, before)
 
 
 def lower_ascii(text: Column) -> Column:
