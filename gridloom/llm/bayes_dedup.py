@@ -5,12 +5,11 @@
 2. ``HASHES`` MinHash values a class; ``BANDS`` bands of ``ROWS`` of them are bucket keys. At similarity 0.75 a pair shares no
    bucket with probability (1 - 0.75**5)**40 = 2e-5.
 3. Round one compares every class with two leads of each of its buckets: at most two rows a bucket and class, whatever
-   the bucket's size. Later rounds take up what that leaves open, buckets whose classes are in different components:
-   all pairs across components of buckets of at most ``SMALL`` classes; larger buckets are first split by more MinHash
-   values, and where a part is still larger, its leads are compared again with all of it. Rounds go on until one finds
-   no link. So rows stay in proportion to classes however large a group of near copies or of documents that share
-   a passage is. What can be missed is a pair at the threshold, across components, that meets in no small bucket and is
-   split apart by both further keys in each of its buckets: about 1e-3 at 0.75, 1e-5 at 0.8.
+   the bucket's size. Round two takes up what that leaves open, buckets whose classes are in different components: every
+   pair across components is compared. Buckets of at most ``SMALL`` classes are joined; larger ones are dealt into parts of
+   about ``PART`` classes, and each pair of parts is compared in one task, which gives out only pairs that pruning keeps.
+   Parts of a bucket's largest component are not paired with each other. So no pair that shares a bucket is left out.
+   The cost is a row for each class and part that it meets: (classes outside the largest component) * classes / PART.
 4. Pruning compares signatures in batches. With m agreements of n the posterior of the similarity under a flat prior is
    Beta(m + 1, n - m + 1); a pair is dropped once P(similarity >= 0.75) is under ``MISS``.
 5. Survivors are verified on their full sets, recomputed from the texts: 100 * |A and B| >= 75 * |A or B|. Of a class's
@@ -41,8 +40,10 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH = 40
 MISS = 1e-5
-#: Classes of a bucket up to which all its pairs across components are candidates.
+#: Classes of a bucket up to which its pairs across components come from a join; larger buckets are compared in parts.
 SMALL = 16
+#: Classes of a part of a larger bucket, about.
+PART = 256
 #: Bits of the filter that spares documents without candidates the shuffle of their texts; 512 kB whatever the data.
 FILTER_BITS = 1 << 22
 
@@ -221,7 +222,7 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         to = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         pairs = pairs.join(to, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.filter("root_a <> root_b").select("a", "b")
+    return pairs.filter("root_a <> root_b").drop("root_a", "root_b")
 
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
@@ -250,24 +251,59 @@ def _stars(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
+def _compare_parts(block: pd.DataFrame) -> pd.DataFrame:
+    """Pairs across components of two parts (or within one), as far as signatures do not rule them out."""
+    first = (block["part"] == block["x"]).to_numpy()
+    left, right = block[first], block[~first] if (block["x"] != block["y"]).any() else block
+    sig_a, sig_b = (np.frombuffer(b"".join(d["sig"]), dtype=np.uint8).reshape(len(d), HASHES) for d in (left, right))
+    (node_a, root_a), (node_b, root_b) = ((d["node"].to_numpy(), d["root"].to_numpy()) for d in (left, right))
+    within, out = right is block, []
+    for at in range(0, len(left), 32):
+        rows = slice(at, at + 32)
+        agreed = (sig_a[rows, None, :BATCH] == sig_b[None, :, :BATCH]).sum(2)
+        open_ = (agreed >= least_agreements(BATCH)) & (root_a[rows, None] != root_b[None, :])
+        if within:
+            open_ &= node_a[rows, None] < node_b[None, :]
+        i, j = np.nonzero(open_)
+        agreed, i = agreed[i, j], i + at
+        for k in range(BATCH, HASHES, BATCH):
+            agreed = agreed + (sig_a[i, k : k + BATCH] == sig_b[j, k : k + BATCH]).sum(1)
+            keep = agreed >= least_agreements(k + BATCH)
+            i, j, agreed = i[keep], j[keep], agreed[keep]
+        out.append((np.minimum(node_a[i], node_b[j]), np.maximum(node_a[i], node_b[j]), agreed))
+    a, b, n = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (zip(*out) if out else ((), (), ())))
+    return pd.DataFrame({"a": a, "b": b, "agreed": n})
+
+
+def _pairs_of_parts(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b, agreed) of all pairs across components of the buckets of ``rows`` (key, node, root), pruned."""
+    per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    top = per.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m"))
+    top = top.select("key", F.col("m.root").alias("top"), F.ceil(F.col("m.c") / PART).alias("own"), F.ceil((F.col("n") - F.col("m.c")) / PART).alias("others"))
+    spot, is_top = F.xxhash64("node", F.lit("part")), F.col("root") == F.col("top")
+    dealt = rows.join(cut(top), "key").withColumn("part", F.when(is_top, F.pmod(spot, "own")).otherwise(F.col("own") + F.pmod(spot, "others")))
+    meets = F.explode(F.sequence(F.when(is_top, F.col("own")).otherwise(F.lit(0).cast("long")), F.col("own") + F.col("others") - 1))
+    dealt = dealt.select("key", "node", "root", "part", meets.alias("to"))
+    dealt = dealt.select("key", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "node", "root").join(sigs, "node")
+    return dealt.groupBy("key", "x", "y").applyInPandas(_compare_parts, "a long, b long, agreed int")
+
+
 def open_pairs(buckets: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs across components. ``buckets``: (key, node) of all buckets that hold two classes or more."""
+    """All pairs (a, b, agreed) across components that share a bucket and that signatures do not rule out. ``buckets``:
+    (key, node) of all buckets that hold two classes or more."""
     rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = _mixed(rows.select("key", "node", "root"))
-    out = _pairs_within(rows.filter(F.col("n") <= SMALL))
-    large = rows.filter(F.col("n") > SMALL)
+    out = prune(cut(_pairs_within(rows.filter(F.col("n") <= SMALL))), sigs)
+    large = rows.filter(F.col("n") > SMALL).select("key", "node", "root")
     if large.isEmpty():
         return out
-    # Two further keys of three values each, from places that the bucket's key says.
-    own = large.select("key", "node", "root").join(sigs, "node")
-    more = [F.struct(F.lit(k).alias("k"), F.substring("sig", F.pmod(F.shiftright("key", 20 * k), F.lit(HASHES - 2)).cast("int") + 1, F.lit(3)).alias("v")) for k in range(2)]
-    split = own.select("node", "root", F.explode(F.array(*[F.xxhash64("key", m) for m in more])).alias("key"))
-    met = _mixed(cut(split))
-    out = out.unionByName(_pairs_within(met.filter(F.col("n") <= SMALL)))
-    crowded = met.filter(F.col("n") > SMALL).select("key", "node")
-    leads = cut(_leads(crowded)).select("key", "lead", "other")
-    stars = _stars(crowded.join(leads, "key"))
-    return out.unionByName(_across(cut(stars), roots)).distinct()
+    return cut(out.unionByName(cut(_pairs_of_parts(large, sigs))).distinct())
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of each b the pair with most agreements."""
+    best = pairs.groupBy("b").agg(F.max(F.struct("agreed", "a")).alias("m"))
+    return cut(best.select(F.col("m.a").alias("a"), "b"))
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,20 +314,17 @@ def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     total = leads.agg(F.sum("n")).first()[0] or 0
     hot = [r[0] for r in leads.filter(F.col("n") > total / HOT_SHARE).select("key").collect()]  # < HOT_SHARE keys
     buckets = cut(lookup(keys, leads.select("key", "lead", "other"), "key", hot, "inner"))
-    likely = prune(cut(_stars(buckets)), sigs)
-    best = likely.groupBy("b").agg(F.max(F.struct("agreed", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = verify(cut(best), texts)
+    links = verify(_likeliest(prune(cut(_stars(buckets)), sigs)), texts)
     roots = components(links)
-    rest = _across(likely, roots)
-    buckets = buckets.select("key", "node")
-    while True:
-        rest = rest.unionByName(prune(cut(open_pairs(buckets, roots, sigs)), sigs).select("a", "b"))
-        more = verify(cut(rest.distinct()), texts)
-        if more.isEmpty():
-            return roots
-        links = links.unionByName(more)
-        roots = components(links)
-        rest = more.limit(0)
+    # All that shares a bucket across components, the lead pairs that were not verified among it; so no round follows.
+    rest = open_pairs(buckets.select("key", "node"), roots, sigs)
+    best = _likeliest(rest)
+    for last in (False, True):
+        more = verify(cut(_across(rest.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)) if last else best, texts)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
