@@ -92,6 +92,15 @@ def test_crowded_buckets(spark, near_rows, monkeypatch):
     assert sum(got[i] != want[i][1] for i in got) <= 1
 
 
+def test_crowded_buckets_lose_nothing(spark, near_rows, monkeypatch):
+    """Parts of large buckets: every component as by brute force, with many parts a bucket."""
+    monkeypatch.setattr(bayes_dedup, "SMALL", 2)
+    monkeypatch.setattr(bayes_dedup, "PART", 8)
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in bayes_dedup.near_duplicates(docs).collect()}
+    assert got == {i: root for i, (_, root) in brute_components(near_rows).items()}
+
+
 def test_twins_among_texts_of_a_template(spark):
     """320 texts that are 0.71 alike by a common template, 40 pairs of them 0.755 to 0.775 alike, at the set SMALL."""
     rng = random.Random(12)
