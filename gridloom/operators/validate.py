@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom import schema
 
 # The extensions that a manifest may name.
 EXTENSIONS = ("xlsx", "xlsm", "xlsb", "xls", "ods", "csv", "tsv")
+MAX_FILE_BYTES = 30 * 1024 * 1024
+MAX_CORPUS_BYTES = 4 * 1024 * 1024 * 1024
+PUBLIC = "corpus/files/"
 
 
 def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
@@ -64,17 +68,49 @@ def merge_order(merges: DataFrame) -> DataFrame:
     return merges.withColumn("before", F.lag(key).over(w)).filter(F.col("before").isNotNull() & (F.col("before") >= key)).drop("before")
 
 
-def manifest_violations(entries: DataFrame) -> DataFrame:
-    """(id, rule) of manifest rows."""
+def path_extension(path: Column) -> Column:
+    """The lower-case extension of a path's last component, empty where there is none."""
+    name = F.substring_index(F.regexp_replace(path, r"(/+\.?)+\z", ""), "/", -1)
+    return F.lower(F.regexp_extract(name, r"\A[^/]+\.([^./]+)\z", 1))
+
+
+def plain_path(path: Column) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` components; links are not followed."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    held = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(held, "/"))
+
+
+def manifest_violations(entries: DataFrame, root: str = ".") -> DataFrame:
+    """(id, rule) of manifest rows; ``root`` is the folder that holds corpus/files. A repeated id is reported once, and a
+    total of public bytes over the limit with a null id. That lines are in the order of ids is for :func:`unsorted`."""
+    true = lambda c: F.coalesce(c, F.lit(False))
+    held = lambda name: true(F.col(name) != "")
+    climbs = lambda name: F.col(name).rlike(r"(^|/)\.\.(/|\z)")
+    path, private, own = F.col("path"), F.col("private"), os.path.realpath(os.path.join(root, PUBLIC))
+    inside = F.startswith(F.concat(plain_path(path), F.lit("/")), F.lit(own + "/"))
+    path_fits = F.when(private, F.startswith(path, F.lit("/")) & ~inside).when(~private, F.startswith(path, F.lit(PUBLIC)) & ~climbs("path")).otherwise(True)
+    source_fits = F.when(private, F.col("source").rlike("^file://")).when(~private, F.col("source").rlike("^https?://")).otherwise(True)
     rules = {
-        "id": ~F.coalesce(F.col("id").rlike(r"^[a-z0-9][a-z0-9._-]*$"), F.lit(False)),
-        "path": ~F.coalesce(~F.col("path").rlike(r"^/|\\|(^|/)\.\.(/|$)") & (F.col("path") != ""), F.lit(False)),
-        "sha256": ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
-        "bytes": ~F.coalesce(F.col("bytes") >= 0, F.lit(False)),
-        "ext": ~F.coalesce(F.col("ext").isin(*EXTENSIONS), F.lit(False)),
+        "id": ~(held("id") & true(~F.startswith("id", F.lit("/")) & ~climbs("id"))),
+        "id_ext": true(path_extension(F.col("id")) != F.col("ext")),
+        "path": ~(held("path") & true(path_fits)),
+        "path_ext": true(path_extension(path) != F.col("ext")),
+        "sha256": ~true(F.col("sha256").rlike(r"\A[0-9a-f]{64}\z")),
+        "bytes": ~true(F.col("bytes").between(0, MAX_FILE_BYTES)),
+        "ext": ~true(F.col("ext").isin(*EXTENSIONS)),
+        "collection": ~held("collection"),
+        "source": ~(held("source") & true(source_fits)),
+        "licence": ~held("licence"),
+        "fetchedAt": ~true(F.col("fetchedAt").rlike(r"\A\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}T\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}Z\z")),
+        "private": private.isNull(),
     }
     broken = F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules.items()]), lambda x: x.isNotNull())
-    return entries.select("id", F.explode(broken).alias("rule"))
+    each = entries.select("id", F.explode(broken).alias("rule"))
+    twice = duplicate_ids(entries.filter("id IS NOT NULL"), "id").select("id", F.lit("duplicate").alias("rule"))
+    total = entries.filter(~private).agg(F.sum("bytes").alias("n")).filter(F.col("n") > MAX_CORPUS_BYTES)
+    return each.unionByName(twice).unionByName(total.select(F.lit(None).cast("string").alias("id"), F.lit("total").alias("rule")))
 
 
 def payload_defects(entries: DataFrame, files: DataFrame) -> DataFrame:

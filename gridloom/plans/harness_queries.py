@@ -195,12 +195,14 @@ def validate_cells(spark, sf_dir):
 
 @query("validate_manifest", "SELECT doc_id::VARCHAR AS id, unnest(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'path' END, CASE WHEN lang NOT IN ('en', 'xls') THEN 'ext' END], lambda x: x IS NOT NULL)) AS rule FROM documents")
 def validate_manifest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    ext = F.when(F.col("lang") == "en", "xlsx").otherwise(F.col("lang"))
+    docs = table(spark, sf_dir, "documents").withColumn("ext", ext).withColumn("id", F.concat(F.col("doc_id").cast("string"), F.lit("."), "ext"))
     entries = docs.select(
-        F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 0, F.lit("../up")).otherwise(F.concat(F.lit("a/b"), F.col("doc_id").cast("string"))).alias("path"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("n_chars").alias("bytes"), F.when(F.col("lang") == "en", "xlsx").otherwise(F.col("lang")).alias("ext"),
+        "id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("../up/"), "id")).otherwise(F.concat(F.lit("corpus/files/"), "id")).alias("path"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("n_chars").cast("long").alias("bytes"), "ext", F.lit("documents").alias("collection"),
+        F.lit("https://example.org/").alias("source"), F.lit("CC0").alias("licence"), F.lit("2024-01-01T00:00:00Z").alias("fetchedAt"), F.lit(False).alias("private"),
     )
-    return validate.manifest_violations(entries)
+    return validate.manifest_violations(entries).withColumn("id", F.substring_index("id", ".", 1))
 
 
 @query("manifest_admission", "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS \"fetchedAt\" FROM documents WHERE n_chars <= 5000 AND lang IN ('en', 'de')")

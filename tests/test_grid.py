@@ -137,3 +137,26 @@ def test_violations(spark):
     assert sorted(tuple(x) for x in validate.sheet_violations(own, books).collect()) == [("a", "index"), ("a", "truncated"), ("b", "error")]
     merges = spark.createDataFrame([("a", 0, 0, 0, 0, 1, 1), ("a", 0, 1, 0, 0, 1, 1)], "workbook string, sheet int, ord int, r0 int, c0 int, r1 int, c1 int")
     assert validate.merge_order(merges).count() == 1
+
+
+def test_manifest_rules(spark):
+    """Each rule on its own against an entry that is sound; what the reference lets pass stays unreported."""
+    from gridloom.sources.manifests import MANIFEST
+
+    sound = {"id": "A/b c.xlsx", "path": "corpus/files/A/b.XLSX", "sha256": "0" * 64, "bytes": 3, "ext": "xlsx", "collection": "k", "source": "http://x", "licence": "l", "fetchedAt": "2024-01-02T03:04:05Z", "private": False}
+    own = sound | {"private": True, "path": "/data/b.xlsx", "source": "file:///data/b.xlsx"}
+    cases = [
+        (sound, set()), (own, set()), (sound | {"id": "/a.xlsx"}, {"id"}), (sound | {"id": "a/../b.xlsx"}, {"id"}), (sound | {"id": "a.xls"}, {"id_ext"}), (sound | {"id": ".xlsx"}, {"id_ext"}),
+        (sound | {"path": "corpus/files/b"}, {"path_ext"}), (sound | {"path": "files/b.xlsx"}, {"path"}), (sound | {"path": "corpus/files/../b.xlsx"}, {"path"}), (sound | {"path": "/data/b.xlsx"}, {"path"}),
+        (sound | {"sha256": "0" * 64 + "\n"}, {"sha256"}), (sound | {"bytes": 30 * 2**20 + 1}, {"bytes"}), (sound | {"bytes": 30 * 2**20}, set()), (sound | {"ext": "doc", "id": "q.doc", "path": "corpus/files/q.doc"}, {"ext"}),
+        (sound | {"collection": ""}, {"collection"}), (sound | {"licence": None}, {"licence"}), (sound | {"source": "file:///x"}, {"source"}), (sound | {"fetchedAt": "2024-01-02"}, {"fetchedAt"}),
+        (sound | {"private": None, "path": "anywhere.xlsx", "source": "x"}, {"private"}), (own | {"path": "b.xlsx"}, {"path"}), (own | {"path": "/repo/x/../corpus//files/b.xlsx"}, {"path"}), (own | {"source": "http://x"}, {"source"}),
+    ]
+    rows = [e | {"id": f"{k}/{e['id']}" if not e["id"].startswith("/") else e["id"]} for k, (e, _) in enumerate(cases)]
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
+    frame = lambda es: spark.createDataFrame([tuple(e[n] for n in names) for e in es], MANIFEST)
+    got = [tuple(r) for r in validate.manifest_violations(frame(rows), "/repo").collect()]
+    assert sorted(got) == sorted((r["id"], x) for r, (_, rules) in zip(rows, cases) for x in rules)
+    many = frame([sound | {"id": f"{k}.xlsx", "bytes": 30 * 2**20} for k in range(137)] + [own, own])
+    assert [tuple(r) for r in validate.manifest_violations(many.limit(136), "/repo").collect()] == []
+    assert sorted(map(str, (tuple(r) for r in validate.manifest_violations(many, "/repo").collect()))) == ["('A/b c.xlsx', 'duplicate')", "(None, 'total')"]
