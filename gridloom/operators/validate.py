@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom import schema
+from gridloom import schema, sheetify
 
 # The extensions that a manifest may name.
 EXTENSIONS = ("xlsx", "xlsm", "xlsb", "xls", "ods", "csv", "tsv")
@@ -22,10 +22,11 @@ def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def unsorted(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Neighbours by ``order`` whose key does not rise. Neighbours come from a self-join on the place, so nothing is sorted in
-    one task; ``order`` counts from any start without gaps."""
-    nxt = df.select((F.col(order) - 1).alias(order), F.col(key).alias("next"))
-    return df.select(order, key).join(nxt, order).filter(F.col("next") <= F.col(key))
+    """Neighbours by ``order`` whose key does not rise. Neighbours come from a self-join on the row's place, so nothing is
+    sorted in one task; ``order`` may have gaps, and rows that share it follow by key."""
+    placed = sheetify.with_row_number(df.select(order, key), [order, key], "__place")
+    nxt = placed.select((F.col("__place") - 1).alias("__place"), F.col(key).alias("next"))
+    return placed.join(nxt, "__place").filter(F.col("next") <= F.col(key)).drop("__place")
 
 
 def missing_keys(child: DataFrame, parent: DataFrame, on: str, parent_key: str) -> DataFrame:

@@ -160,3 +160,8 @@ def test_manifest_rules(spark):
     many = frame([sound | {"id": f"{k}.xlsx", "bytes": 30 * 2**20} for k in range(137)] + [own, own])
     assert [tuple(r) for r in validate.manifest_violations(many.limit(136), "/repo").collect()] == []
     assert sorted(map(str, (tuple(r) for r in validate.manifest_violations(many, "/repo").collect()))) == ["('A/b c.xlsx', 'duplicate')", "(None, 'total')"]
+
+
+def test_unsorted_over_gaps(spark):
+    df = spark.createDataFrame([(k, v) for k, v in ((1, 1), (2, 5), (4, 3), (9, 3), (12, 8), (-3, 0))], "ord int, key int")
+    assert sorted(tuple(r) for r in validate.unsorted(df, "key", "ord").select("ord", "key", "next").collect()) == [(2, 5, 3), (4, 3, 3)]
