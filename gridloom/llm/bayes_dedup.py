@@ -1,24 +1,26 @@
 """Near-duplicates: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
-1. A document's set is its distinct five-word shingles (64-bit hashes; with fewer words the whole sequence). Documents with
-   equal sets form a class; everything after works on classes, so exact copies cost nothing more.
+1. A document's set is its distinct five-word shingles (with fewer words the whole sequence). Documents with equal sets form
+   a class; everything after works on classes, so exact copies cost nothing more.
 2. ``HASHES`` MinHash values a class; ``BANDS`` bands of ``ROWS`` of them are bucket keys. At similarity 0.75 a pair shares no
    bucket with probability (1 - 0.75**5)**40 = 2e-5.
-3. Round one compares every class with two leads of each of its buckets: at most two rows a bucket and class, whatever
-   the bucket's size. Round two takes up what that leaves open, buckets whose classes are in different components: every
-   pair across components is compared. Buckets of at most ``SMALL`` classes are joined; larger ones are dealt into parts of
-   about ``PART`` classes, and each pair of parts is compared in one task, which gives out only pairs that pruning keeps.
-   Parts of a bucket's largest component are not paired with each other. So no pair that shares a bucket is left out.
+3. Round one compares every class with the lead (smallest class) of a bucket, the lead with which it shares most buckets: one
+   pair a class, whatever the buckets' sizes. Round two takes up what that leaves open, buckets whose classes are in different
+   components: every pair across components is compared. A bucket is dealt into parts of about ``PART`` classes, and each pair
+   of parts is compared in one block. Parts of a large bucket's largest component are not paired with each other. So no pair
+   that shares a bucket is left out, and no pair is a row: a block gives out the classes that have a likely partner in it, gets
+   their texts, and gives out the verified links that join components, fewer than its classes.
    The cost is a row for each class and part that it meets: (classes outside the largest component) * classes / PART.
 4. Pruning compares signatures in batches. With m agreements of n the posterior of the similarity under a flat prior is
-   Beta(m + 1, n - m + 1); a pair is dropped once P(similarity >= 0.75) is under ``MISS``.
-5. Survivors are verified on their full sets, recomputed from the texts: 100 * |A and B| >= 75 * |A or B|. Of a class's
-   survivors the likeliest is verified first; the others only if that leaves them in different components.
+   Beta(m + 1, n - m + 1); a pair is dropped once P(similarity >= 0.75) is under ``MISS``. Set sizes that rule a pair out
+   drop it first.
+5. Survivors are verified on their whole texts: 100 * |A and B| >= 75 * |A or B|. Hashed shingles may rule a pair out; a link
+   is confirmed on the words themselves. The likeliest pairs come first, and what they join need not be verified again.
 6. Links make components; the smallest id of each stays.
 
-Edge cases: a null text or one without words has an empty set and no link; a null id is reported with its own
-count, null component and kept true, and takes no part; rows that repeat an id are one document with several texts;
-an empty table gives an empty result; other columns are not looked at.
+Edge cases: a null text or one without words has an empty set and no link. Rows that repeat an id are documents of their
+own, whatever their texts. A null id takes part like any other and comes after all ids: component_id is null only where a
+whole component has no id, and then one text of it is kept. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,49 +34,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, hot_keys, lookup
-from .components import components
+from .common import HOT_SHARE, cut, lookup, row_key, without_rows
+from .components import components, follow
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH = 40
 MISS = 1e-5
-#: Classes of a bucket up to which its pairs across components come from a join; larger buckets are compared in parts.
-SMALL = 16
-#: Classes of a part of a larger bucket, about.
-PART = 256
+#: Classes of a part of a bucket, about.
+PART = 512
 #: Bits of the filter that spares documents without candidates the shuffle of their texts; 512 kB whatever the data.
 FILTER_BITS = 1 << 22
 
 _RNG = np.random.default_rng(20_240_229)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _RNG.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 _LAST = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(0, 1 << 62)) * 2 + 1
-_SPACE = np.array([b == 0x20 or 9 <= b <= 13 for b in range(256)])
+LINKS = "a long, b long"
+BLOCK = ["key", "x", "y", "part", "node", "root", "n_shingles", "sig", "bands"]
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as long as the longest text so far."""
+class _Words(dict):
+    """64-bit hash of a word, by BLAKE2b; a dictionary that starts anew when it holds a million words."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+    def __missing__(self, word: bytes) -> int:
+        import hashlib
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (self._row(b, max(n, 1 << 16)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _row(base: int, size: int) -> np.ndarray:
-        factors = np.full(size, base, dtype=np.uint64)
-        factors[0] = 1
-        return np.cumprod(factors, dtype=np.uint64)
-
-
-_POWERS = _Powers()
+        if len(self) >= 1 << 20:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,24 +73,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; words are hashed by differences of one running sum."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[raw]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    if not len(starts):
+def shingle_set(text: str | None, hashes: _Words | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    words, hashes = _words(text or ""), _Words() if hashes is None else hashes
+    if not words:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _POWERS.get(len(raw))
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * up, out=sums[1:])
-    words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    codes = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(SHINGLE, len(words))
     out = np.full(len(words) - k + 1, k, dtype=np.uint64)
     for j in range(k):
-        out = out * _LAST[j] + words[j : len(words) - k + 1 + j]
-    return np.unique(_mix(out))
+        out = _mix(out * _LAST[j] + codes[j : len(words) - k + 1 + j])
+    return np.unique(out)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -125,24 +108,27 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+SKETCH = "doc_id long, row_key binary, n_shingles long, set_key binary, sig binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
 
     np.seterr(over="ignore")
+    words = _Words()
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            s = shingle_set(text)
+        for text in batch["text"]:
+            s = shingle_set(text, words)
             if len(s):
                 values = signature(s)
-                rows.append((doc, len(s), hashlib.md5(s.tobytes()).digest(), (values & np.uint64(0xFF)).astype(np.uint8).tobytes(), band_keys(values)))
+                rows.append((len(s), hashlib.md5(s.tobytes()).digest(), (values & np.uint64(0xFF)).astype(np.uint8).tobytes(), band_keys(values)))
             else:
-                rows.append((doc, 0, None, None, None))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sig", "bands"])
-        yield out.astype({"doc_id": "Int64"})
+                rows.append((0, None, None, None))
+        out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "sig", "bands"])
+        out.insert(0, "row_key", batch["row_key"].to_numpy())
+        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+        yield out
 
 
 @cache
@@ -160,42 +146,74 @@ def least_agreements(n: int, similarity: float = 0.75 + 0.25 / 256, miss: float
     return n
 
 
+def _survivors(sig_a: np.ndarray, sig_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those that neither their sizes nor their signatures rule out, batch by batch, with their agreements."""
+    near = DENOMINATOR * np.minimum(size_a[i], size_b[j]) >= NUMERATOR * np.maximum(size_a[i], size_b[j])
+    i, j = i[near], j[near]
+    agreed = np.zeros(len(i), dtype=np.int64)
+    for at in range(0, HASHES, BATCH):
+        agreed = agreed + (sig_a[i, at : at + BATCH] == sig_b[j, at : at + BATCH]).sum(1)
+        keep = agreed >= least_agreements(at + BATCH)
+        i, j, agreed = i[keep], j[keep], agreed[keep]
+    return i, j, agreed
+
+
+def _signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), HASHES)
+
+
 def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            a = np.frombuffer(b"".join(batch["sig_a"]), dtype=np.uint8).reshape(len(batch), HASHES)
-            b = np.frombuffer(b"".join(batch["sig_b"]), dtype=np.uint8).reshape(len(batch), HASHES)
-            alive, agreed = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64)
-            for at in range(0, HASHES, BATCH):
-                agreed[alive] += (a[alive, at : at + BATCH] == b[alive, at : at + BATCH]).sum(1)
-                alive = alive[agreed[alive] >= least_agreements(at + BATCH)]
-            out = batch.iloc[alive][["a", "b"]]
-            yield out.assign(agreed=agreed[alive])
+            each = np.arange(len(batch))
+            i, _, _ = _survivors(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]), batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), each, each)
+            yield batch.iloc[i][["a", "b"]]
 
 
-def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those that signatures do not rule out, with their agreements of HASHES."""
-    one = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = one.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return cut(both.mapInPandas(_prune, "a long, b long, agreed int"))
+def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) those that sizes and signatures do not rule out."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n_shingles").alias(f"n_{end}")), end)
+    return cut(pairs.mapInPandas(_prune, LINKS))
+
+
+def same_share(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether the shingle sets of two word lists are similar enough, compared word by word without any hashing."""
+    k = min(SHINGLE, len(a))
+    if not a or k != min(SHINGLE, len(b)):
+        return False
+    seen: dict[bytes, int] = {}
+    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in a + b), dtype=np.int64, count=len(a) + len(b))
+    starts = np.concatenate([np.arange(len(a) - k + 1), len(a) + np.arange(len(b) - k + 1)])
+    grams, top = codes[starts], len(seen)
+    for j in range(1, k):
+        if top > (1 << 62) // len(seen):  # number the values anew before they outgrow 64 bits
+            values, grams = np.unique(grams, return_inverse=True)
+            top = len(values)
+        grams, top = grams * len(seen) + codes[starts + j], top * len(seen)
+    one, two = np.unique(grams[: len(a) - k + 1]), np.unique(grams[len(a) - k + 1 :])
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(one) + len(two) - both)
+
+
+def _words(text: str) -> list[bytes]:
+    """Words of the text; ``bytes`` lower-cases A-Z alone and splits at exactly the six blanks that part words."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    np.seterr(over="ignore")
-    last, held = None, None
+    last, held = None, []
     for batch in batches:
         ok = []
         for a, ta, tb in zip(batch["a"], batch["text_a"], batch["text_b"]):
             if a != last:
-                last, held = a, shingle_set(ta)
-            other = shingle_set(tb)
-            both = len(np.intersect1d(held, other, assume_unique=True))
-            ok.append(DENOMINATOR * both >= NUMERATOR * (len(held) + len(other) - both) and both > 0)
+                last, held = a, _words(ta)
+            ok.append(same_share(held, _words(tb)))
         yield batch.loc[ok, ["a", "b"]]
 
 
 def likely_among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """``df`` without most rows whose ``column`` is not among the long ids of ``wanted`` (one column). No row that is among
+    """``df`` without most rows whose ``column`` is not among the values of ``wanted`` (one column). No row that is among
     them is lost. The filter has FILTER_BITS bits, so its broadcast has a fixed size; when it fills up it lets more pass."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     name = wanted.columns[0]
@@ -207,14 +225,157 @@ def likely_among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return held.filter(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1).drop("__k", "__map")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough. ``texts``: (node, text); of a repeated node one text counts."""
-    wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    held = likely_among(texts, "node", wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    one = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    # Texts may be long, so fewer of them count as hot than elsewhere.
-    both = lookup(one, held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", hot_keys(pairs, "a", share=64), "inner")
-    return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"))
+def texts_of(some: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text): one text of each class in ``some`` (node). ``rows``: (row_key, text)."""
+    wanted = cut(some.distinct().join(nodes.select("node", F.col("chosen.row_key").alias("row_key")), "node"))
+    found = likely_among(rows, "row_key", wanted.select("row_key")).groupBy("row_key").agg(F.first("text").alias("text"))
+    return found.join(wanted, "row_key").select("node", "text")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, by the words of one text of each class."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows)
+    for end in ("b", "a"):
+        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return cut(pairs.select("a", "b", "text_a", "text_b").mapInPandas(_verify, LINKS))
+
+
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each class b with that lead a of its buckets with which it shares most buckets. a < b, so they make a forest."""
+    shared = members.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("a"))
+    return best.select("a", F.col("node").alias("b"))
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Chunks of whole blocks (rows with the same key, x and y, which come in order) and the blocks' starts. The rows of a block
+    that goes on in the next batch are held: two parts at most."""
+    held = None
+    for batch in batches:
+        chunk = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(chunk):
+            continue
+        name = chunk[["key", "x", "y"]].to_numpy()
+        starts = np.append(0, np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1)
+        held = chunk.iloc[starts[-1] :].reset_index(drop=True)
+        if len(starts) > 1:
+            yield chunk.iloc[: starts[-1]].reset_index(drop=True), starts[:-1]
+    if held is not None and len(held):
+        yield held, np.zeros(1, dtype=np.int64)
+
+
+def _likely(chunk: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j, agreements) across components of each block that sizes and signatures do not rule out. A pair
+    that shares several buckets is met in the first of them alone."""
+    sig, bands, size = _signatures(chunk["sig"]), np.stack(chunk["bands"].to_numpy()), chunk["n_shingles"].to_numpy()
+    root, key = chunk["root"].to_numpy(), chunk["key"].to_numpy()
+    side, one = (chunk["part"] == chunk["x"]).to_numpy(), (chunk["x"] == chunk["y"]).to_numpy()
+    counts = np.diff(np.append(starts, len(chunk)))
+    block = np.repeat(np.arange(len(starts)), counts)
+
+    def compare(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ok = (root[i] != root[j]) & (one[i] | (side[i] != side[j]))
+        i, j, agreed = _survivors(sig, sig, size, size, i[ok], j[ok])
+        for at in range(0, len(i), 1 << 15):
+            p, q, n = (x[at : at + (1 << 15)] for x in (i, j, agreed))
+            first = (bands[p] == bands[q]).argmax(1)
+            here = bands[p, first] == key[p]
+            yield p[here], q[here], n[here]
+
+    few = counts <= 64
+    for apart in range(1, min(64, counts.max(initial=0))):  # small blocks, all at once: each row with the row so many places on
+        i = np.flatnonzero((block[:-apart] == block[apart:]) & few[block[:-apart]])
+        yield from compare(i, i + apart)
+    for at, n in zip(starts[~few], counts[~few]):
+        columns, step = np.ascontiguousarray(sig[at : at + n, :BATCH].T), max(1, (1 << 19) // n)
+        for first in range(0, n, step):
+            agreed = np.zeros((min(step, n - first), n), dtype=np.uint8)
+            for c in columns:
+                agreed += c[first : first + step, None] == c
+            i, j = np.nonzero(agreed >= least_agreements(BATCH))
+            later = i + first < j
+            yield from compare(at + first + i[later], at + j[later])
+
+
+def _open_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each block that have a likely partner in it: no more rows than come in."""
+    for chunk, starts in _blocks(batches):
+        met = np.zeros(len(chunk), dtype=bool)
+        for i, j, _ in _likely(chunk, starts):
+            met[i] = met[j] = True
+        yield chunk[met]
+
+
+class _Sets:
+    """Shingle hashes and words of a chunk's texts, made when asked for; the least lately made go beyond ``ROOM`` words."""
+
+    ROOM = 1 << 22
+
+    def __init__(self, texts: np.ndarray, hashes: _Words):
+        self.texts, self.hashes, self.held, self.size = texts, hashes, {}, 0
+
+    def get(self, i: int) -> np.ndarray:
+        if i not in self.held:
+            while self.held and self.size > self.ROOM:
+                self.size -= len(self.held.pop(next(iter(self.held))))
+            self.held[i] = shingle_set(self.texts[i], self.hashes)
+            self.size += len(self.held[i])
+        return self.held[i]
+
+    def linked(self, i: int, j: int) -> bool:
+        a, b = self.get(i), self.get(j)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        likely = DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+        return likely and same_share(_words(self.texts[i]), _words(self.texts[j]))
+
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verified links (a, b) that join components of a chunk, fewer than its rows: the likeliest pairs come first, and a pair
+    that other links have joined by then need not be verified. What hashes rule out is out; what they leave is held to words."""
+    np.seterr(over="ignore")
+    hashes = _Words()
+    for chunk, starts in _blocks(batches):
+        found = list(zip(*_likely(chunk, starts)))
+        if not found:
+            continue
+        i, j, agreed = (np.concatenate(x) for x in found)
+        sets, node, root, up, out = _Sets(chunk["text"].to_numpy(), hashes), chunk["node"].to_numpy(), chunk["root"].tolist(), {}, []
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        order = np.argsort(-agreed, kind="stable")
+        for p, q in zip(i[order].tolist(), j[order].tolist()):
+            one, two = top(root[p]), top(root[q])
+            if one != two and sets.linked(p, q):
+                up[one] = two
+                out.append((min(node[p], node[q]), max(node[p], node[q])))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def links_across(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join what ``roots`` leaves apart: with them, two classes that share a bucket and are similar
+    enough are in one component, but for those that pruning misses. ``members``: (key, node) of buckets with two classes or more."""
+    met = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    per = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m")).filter("roots > 1")
+    large, parts = F.col("n") > PART, lambda n: F.ceil(n / PART).cast("long")
+    own = F.when(large, F.col("m.c")).otherwise(0)
+    top = top.select("key", F.when(large, F.col("m.root")).alias("top"), parts(own).alias("own"), parts(F.col("n") - own).alias("others"))
+    dealt, spot, is_top = met.join(cut(top), "key"), F.xxhash64("node", F.lit("part")), F.col("root").eqNullSafe(F.col("top"))
+    dealt = dealt.withColumn("part", F.when(is_top, F.pmod(spot, "own")).otherwise(F.col("own") + F.pmod(spot, "others")))
+    meets = F.explode(F.sequence(F.when(is_top, F.col("own")).otherwise(F.lit(0).cast("long")), F.col("own") + F.col("others") - 1))
+    dealt = dealt.select("key", "node", "root", "part", meets.alias("to"))
+    dealt = dealt.select("key", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "node", "root")
+    dealt = dealt.join(nodes.select("node", "n_shingles", "sig", "bands"), "node").select(*BLOCK)
+    together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rest = cut(together(dealt).mapInPandas(_open_rows, dealt.schema))
+    if rest.isEmpty():
+        return rest.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    texts = texts_of(rest.select("node"), nodes, rows)
+    return cut(together(rest.join(texts, "node").select(*BLOCK, "text")).mapInPandas(_links, LINKS))
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -222,134 +383,64 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         to = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         pairs = pairs.join(to, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.filter("root_a <> root_b").drop("root_a", "root_b")
-
-
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """Pairs across components of the buckets of ``rows`` (key, node, root); buckets are small."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    met = left.join(right, "key").filter("a < b AND ra <> rb")
-    return met.select("a", "b").distinct()
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, node, root) of the keys that hold several components, with the key's count n."""
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return cut(rows.join(cut(stats.filter("lo <> hi").select("key", "n")), "key"))
-
-
-def _leads(rows: DataFrame, key: str = "key") -> DataFrame:
-    """(key, n, lead, other): the smallest node of each key and the smallest by hash."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.min(F.struct(F.xxhash64("node", F.lit("lead")), "node")).alias("o")).select(key, "n", "lead", F.col("o.node").alias("other"))
-
-
-def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b) of ``rows`` (node, lead, other): each node with both leads."""
-    ends = F.explode(F.array_distinct(F.array("lead", "other")))
-    pairs = rows.select("node", ends.alias("to")).filter("node <> to")
-    return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-
-
-def _compare_parts(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components of two parts (or within one), as far as signatures do not rule them out."""
-    first = (block["part"] == block["x"]).to_numpy()
-    left, right = block[first], block[~first] if (block["x"] != block["y"]).any() else block
-    sig_a, sig_b = (np.frombuffer(b"".join(d["sig"]), dtype=np.uint8).reshape(len(d), HASHES) for d in (left, right))
-    (node_a, root_a), (node_b, root_b) = ((d["node"].to_numpy(), d["root"].to_numpy()) for d in (left, right))
-    within, out = right is block, []
-    for at in range(0, len(left), 32):
-        rows = slice(at, at + 32)
-        agreed = (sig_a[rows, None, :BATCH] == sig_b[None, :, :BATCH]).sum(2)
-        open_ = (agreed >= least_agreements(BATCH)) & (root_a[rows, None] != root_b[None, :])
-        if within:
-            open_ &= node_a[rows, None] < node_b[None, :]
-        i, j = np.nonzero(open_)
-        agreed, i = agreed[i, j], i + at
-        for k in range(BATCH, HASHES, BATCH):
-            agreed = agreed + (sig_a[i, k : k + BATCH] == sig_b[j, k : k + BATCH]).sum(1)
-            keep = agreed >= least_agreements(k + BATCH)
-            i, j, agreed = i[keep], j[keep], agreed[keep]
-        out.append((np.minimum(node_a[i], node_b[j]), np.maximum(node_a[i], node_b[j]), agreed))
-    a, b, n = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (zip(*out) if out else ((), (), ())))
-    return pd.DataFrame({"a": a, "b": b, "agreed": n})
-
-
-def _pairs_of_parts(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b, agreed) of all pairs across components of the buckets of ``rows`` (key, node, root), pruned."""
-    per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m"))
-    top = top.select("key", F.col("m.root").alias("top"), F.ceil(F.col("m.c") / PART).alias("own"), F.ceil((F.col("n") - F.col("m.c")) / PART).alias("others"))
-    spot, is_top = F.xxhash64("node", F.lit("part")), F.col("root") == F.col("top")
-    dealt = rows.join(cut(top), "key").withColumn("part", F.when(is_top, F.pmod(spot, "own")).otherwise(F.col("own") + F.pmod(spot, "others")))
-    meets = F.explode(F.sequence(F.when(is_top, F.col("own")).otherwise(F.lit(0).cast("long")), F.col("own") + F.col("others") - 1))
-    dealt = dealt.select("key", "node", "root", "part", meets.alias("to"))
-    dealt = dealt.select("key", F.least("part", "to").alias("x"), F.greatest("part", "to").alias("y"), "part", "node", "root").join(sigs, "node")
-    return dealt.groupBy("key", "x", "y").applyInPandas(_compare_parts, "a long, b long, agreed int")
+    return pairs.filter("root_a <> root_b")
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs (a, b, agreed) across components that share a bucket and that signatures do not rule out. ``buckets``:
-    (key, node) of all buckets that hold two classes or more."""
-    rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = _mixed(rows.select("key", "node", "root"))
-    out = prune(cut(_pairs_within(rows.filter(F.col("n") <= SMALL))), sigs)
-    large = rows.filter(F.col("n") > SMALL).select("key", "node", "root")
-    if large.isEmpty():
-        return out
-    return cut(out.unionByName(cut(_pairs_of_parts(large, sigs))).distinct())
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after the verified ``links`` (a, b): components of the graph between the roots, carried to their nodes."""
+    met = components(_across(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    up = met.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    old = roots.join(up, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    return cut(old.unionByName(met.join(roots.select("node"), "node", "left_anti")))
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """(a, b): of each b the pair with most agreements."""
-    best = pairs.groupBy("b").agg(F.max(F.struct("agreed", "a")).alias("m"))
-    return cut(best.select(F.col("m.a").alias("a"), "b"))
+def similar_components(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) of the classes that are linked to another. ``nodes``: (node, sig, bands, n_shingles, chosen)."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    crowds = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1").select("key", "lead"))
+    members = cut(keys.join(crowds, "key"))
+    links = verify(prune(_star_pairs(members), nodes), nodes, rows)
+    roots = follow(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    more = links_across(members, roots, nodes, rows)
+    return roots if more.isEmpty() else _merged(roots, more)
 
 
-def similar_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the classes that are linked to another. ``nodes``: (node, sig, bands)."""
-    sigs = nodes.select("node", "sig")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    leads = cut(_leads(keys).filter("n > 1"))
-    total = leads.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in leads.filter(F.col("n") > total / HOT_SHARE).select("key").collect()]  # < HOT_SHARE keys
-    buckets = cut(lookup(keys, leads.select("key", "lead", "other"), "key", hot, "inner"))
-    links = verify(_likeliest(prune(cut(_stars(buckets)), sigs)), texts)
-    roots = components(links)
-    # All that shares a bucket across components, the lead pairs that were not verified among it; so no round follows.
-    rest = open_pairs(buckets.select("key", "node"), roots, sigs)
-    best = _likeliest(rest)
-    for last in (False, True):
-        more = verify(cut(_across(rest.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)) if last else best, texts)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
-    return roots
+def _verdicts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row_key, n_shingles, set_key, chosen): of each row the row of its component that stays, null without words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", row_key("doc_id", "text"))
+    base = cut(rows.mapInPandas(_sketch, SKETCH))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("chosen")
+    alike = base.filter("set_key IS NOT NULL").groupBy("set_key")
+    classes = alike.agg(pick, F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")])
+    nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    roots = similar_components(nodes.drop("set_key", "n"), rows.select("row_key", "text"))
+    linked = cut(roots.join(nodes.select("node", "chosen"), "node"))
+    firsts = cut(linked.groupBy("root").agg(F.min("chosen").alias("first"), F.count(F.lit(1)).alias("n")))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in firsts.filter(F.col("n") > total / HOT_SHARE).select("root").collect()]  # < HOT_SHARE
+    firsts = lookup(linked.select("node", "root"), firsts.select("root", "first"), "root", hot).select("node", "first")
+    groups = nodes.select("set_key", "node", "chosen", "n").join(firsts, "node", "left")
+    groups = cut(groups.select("set_key", F.coalesce("first", "chosen").alias("chosen"), "n"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in groups.filter(F.col("n") > total / HOT_SHARE).select("set_key").collect()]  # < HOT_SHARE
+    keyed = base.select("doc_id", "row_key", "n_shingles", "set_key")
+    out = lookup(keyed.filter("set_key IS NOT NULL"), groups.select("set_key", "chosen"), "set_key", hot)
+    bare = keyed.filter("set_key IS NULL").withColumn("chosen", F.lit(None).cast(groups.schema["chosen"].dataType))
+    return out.unionByName(bare)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: ``id_col``, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = cut(rows.mapInPandas(_sketch, SKETCH))
-    members = base.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(members.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    # An id that is repeated with other texts is the node of several classes; the first by key stands for it.
-    chosen = classes.groupBy("node").agg(F.min("set_key").alias("set_key"))
-    found = members.select("set_key", F.col("doc_id").alias("node"), "sig", "bands").join(chosen, ["set_key", "node"], "left_semi")
-    texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    nodes = cut(found.dropDuplicates(["node"]).select("node", "sig", "bands"))
-    roots = similar_components(nodes, texts)
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in classes.filter(F.col("n") > total / HOT_SHARE).select("set_key").collect()]  # < HOT_SHARE
-    groups = classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    keyed = base.select("doc_id", "n_shingles", "set_key")
-    out = lookup(keyed.filter("set_key IS NOT NULL"), groups, "set_key", hot)
-    out = out.select("doc_id", "n_shingles", "root").unionByName(keyed.filter("set_key IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
-    component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = _verdicts(docs, id_col, text_col)
+    component = F.when(F.col("chosen").isNull(), F.col("doc_id")).otherwise(F.col("chosen.doc_id"))
+    alone = F.col("chosen").isNull() | (F.col("chosen.row_key") == F.col("row_key"))
+    kept = F.when(component.isNull(), alone).otherwise(F.col("doc_id").eqNullSafe(component))
+    return rows.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns."""
-    losers = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__loser")).distinct()
-    return docs.join(losers, docs[id_col].eqNullSafe(losers["__loser"]), "left_anti")
+    """One row of each component, all columns: the one with the smallest id (null last), of these the one with the smallest
+    hash of its text. Rows without words stay."""
+    rows = _verdicts(docs, id_col, text_col).filter("chosen IS NOT NULL")
+    verdict = rows.groupBy("row_key").agg(F.first(F.col("chosen.row_key") == F.col("row_key")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    return without_rows(docs, row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")), cut(verdict.filter("NOT stays OR n > 1")))

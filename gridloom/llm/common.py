@@ -63,6 +63,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def row_key(id_col: Column | str, text: Column | str) -> Column:
+    """128 bits that name a row's id and text together; rows with the same key are copies of each other in both."""
+    number, text = (F.col(c) if isinstance(c, str) else c for c in (id_col, text))
+    return F.unhex(F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("n")).otherwise(F.lit(":")), F.coalesce(text, F.lit("")))))
+
+
+def without_rows(docs: DataFrame, key: Column, verdict: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that ``verdict`` (row_key, stays, n) sends away: those whose row_key does not
+    stay, and all but one of the n rows with a row_key that does. Row keys of which the only row stays need not be listed."""
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, key)
+    out = keyed.join(verdict.select(F.col("row_key").alias(name)), name, "left_anti")
+    again = verdict.filter("stays AND n > 1").select(F.col("row_key").alias(name))
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, name, "left_semi").dropDuplicates([name]))
+    return out.drop(name).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hot_keys(df: DataFrame, key: str, total: int | None = None, share: int = HOT_SHARE) -> list:
     """The keys of ``df`` that hold more than 1/share of its rows: fewer than ``share`` values.
 

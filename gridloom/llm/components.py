@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _jump(hooks: DataFrame) -> DataFrame:
+    parents = hooks.select(F.col("node").alias("root"), F.col("root").alias("__next"))
+    return hooks.join(parents, "root", "left").select("node", F.coalesce("__next", "root").alias("root"), (F.coalesce("__next", "root") != F.col("root")).alias("moved"))
+
+
 def _roots(hooks: DataFrame) -> DataFrame:
-    """(node, root) from (node, root) in which a root is smaller than its node or is itself, followed to the end."""
+    """(node, root) from (node, root) in which a root is smaller than its node or is itself, followed to the end. Two jumps a
+    cut; when the second moves nothing, the end is reached."""
     while True:
-        parents = hooks.select(F.col("node").alias("root"), F.col("root").alias("__next"))
-        jumped = hooks.join(parents, "root", "left")
-        jumped = cut(jumped.select("node", F.coalesce("__next", "root").alias("next"), (F.coalesce("__next", "root") != F.col("root")).alias("moved")))
-        hooks = jumped.select("node", F.col("next").alias("root"))
+        jumped = cut(_jump(_jump(hooks).drop("moved")))
+        hooks = jumped.drop("moved")
         if jumped.filter("moved").isEmpty():
             return hooks
 
 
+def follow(hooks: DataFrame) -> DataFrame:
+    """(node, root) of a forest: ``hooks`` has for each node but the roots its parent, which is smaller. Roots are added."""
+    tops = hooks.select(F.col("root").alias("node")).distinct().join(hooks.select("node"), "node", "left_anti")
+    return _roots(cut(hooks.unionByName(tops.withColumn("root", F.col("node")))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of ``edges`` (a, b), the smallest node that it reaches. Loops and repeats are harmless."""
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -49,6 +49,15 @@ def test_exact_empty_and_drop(spark, docs):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 3, 4, 6, 7, 8]
 
 
+def test_exact_drop_keeps_other_rows_of_an_id(spark):
+    """A row that goes takes no other row of its id, or without id, along; of repeated rows one stays."""
+    rows = [(1, "a"), (None, "A"), (None, "unique null id"), (2, "a"), (2, "unique two"), (3, "A"), (3, "three"), (3, "three"), (3, "THREE"), (None, "no id"), (None, "no id"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, text string, keep_id long")
+    left = [(r.doc_id, (r.text or "").lower()) for r in exact_dedup.drop_exact_duplicates(docs).collect()]
+    assert Counter(left) == Counter([(1, "a"), (None, "unique null id"), (2, "unique two"), (3, "three"), (None, "no id"), (4, "")])
+    assert exact_dedup.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
 def targets(sizes):
     """Shares stopped at twice the size, the rest shared again until none is above."""
     names = sorted([k for k in sizes if k is not None]) + [None] * (None in sizes)

@@ -77,32 +77,57 @@ def test_near_duplicates(spark, near_rows):
 
 
 def test_near_duplicates_edges(spark):
-    docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, None), (None, "only without id x y z"), (None, "ONLY without id x y z")], "doc_id long, text string")
     got = Counter(tuple(r) for r in bayes_dedup.near_duplicates(docs).collect())
-    assert got == {(None, 2, None, True): 1, (1, 2, 1, True): 2, (2, 0, 2, True): 1}
+    assert got == {(None, 2, 1, False): 1, (1, 2, 1, True): 2, (2, 0, 2, True): 1, (None, 0, None, True): 1, (None, 2, None, True): 1, (None, 2, None, False): 1}
     assert bayes_dedup.near_duplicates(docs.limit(0)).count() == 0
+    left = Counter(r.doc_id for r in bayes_dedup.drop_near_duplicates(docs).collect())
+    assert left == {1: 1, 2: 1, None: 2}
+    assert bayes_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_crowded_buckets(spark, near_rows, monkeypatch):
-    """With small buckets hardly allowed the further keys and leads find the same components."""
-    monkeypatch.setattr(bayes_dedup, "SMALL", 2)
-    docs = spark.createDataFrame(near_rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in bayes_dedup.near_duplicates(docs).collect()}
-    want = brute_components(near_rows)
-    assert sum(got[i] != want[i][1] for i in got) <= 1
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    """Twenty ids with two texts each, the second near to a text of another id: every link is found, every other text stays."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(20):
+        base = [rng.choice(words) for _ in range(80)]
+        near = list(base)
+        near[3] = "changed"
+        rows += [(k, " ".join(rng.choice(words) for _ in range(50))), (k, " ".join(near)), (1000 + k, " ".join(base)), (5000, " ".join(rng.choice(words) for _ in range(30)))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string")
+    ready(spark)
+    got = {r.doc_id: r.component_id for r in bayes_dedup.near_duplicates(docs).collect() if r.doc_id >= 1000}
+    assert got == {**{1000 + k: k for k in range(20)}, 5000: 5000}
+    left = Counter((r.doc_id, r.text) for r in bayes_dedup.drop_near_duplicates(docs).collect())
+    assert left == Counter(r for r in rows if not 1000 <= r[0] < 1020)
 
 
 def test_crowded_buckets_lose_nothing(spark, near_rows, monkeypatch):
     """Parts of large buckets: every component as by brute force, with many parts a bucket."""
-    monkeypatch.setattr(bayes_dedup, "SMALL", 2)
     monkeypatch.setattr(bayes_dedup, "PART", 8)
     docs = spark.createDataFrame(near_rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in bayes_dedup.near_duplicates(docs).collect()}
     assert got == {i: root for i, (_, root) in brute_components(near_rows).items()}
 
 
+def test_shares_of_words():
+    """The exact comparison agrees with sets of word tuples, also where codes outgrow 64 bits and at the threshold."""
+    rng = random.Random(3)
+    for vocabulary in (2, 30, 100_000):
+        for _ in range(60):
+            a = [b"%d" % rng.randrange(vocabulary) for _ in range(rng.randint(0, 60))]
+            b = [w if rng.random() > 0.02 else b"%d" % rng.randrange(vocabulary) for w in a][: rng.randint(0, 70)]
+            one, two = (shingles(" ".join(x.decode() for x in w)) for w in (a, b))
+            both = len(one & two)
+            assert bayes_dedup.same_share(a, b) == (both > 0 and 100 * both >= 75 * len(one | two))
+    long = [b"%d" % k for k in range(9000)]
+    assert bayes_dedup.same_share(long, long[:8000]) and not bayes_dedup.same_share(long, long[:6000])
+
+
 def test_twins_among_texts_of_a_template(spark):
-    """320 texts that are 0.71 alike by a common template, 40 pairs of them 0.755 to 0.775 alike, at the set SMALL."""
+    """320 texts that are 0.71 alike by a common template, 40 pairs of them 0.755 to 0.775 alike."""
     rng = random.Random(12)
     words = [f"w{k}" for k in range(3000)]
     some = lambda n: [rng.choice(words) for _ in range(n)]
