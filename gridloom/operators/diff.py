@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +14,9 @@ from gridloom.operators.store import last_wins
 VALUES = ["t", "vn", "vs", "vb", "d", "f", "fmt"]
 
 
-@F.udf(T.StringType())
-def _squeeze(text):
-    return None if text is None else without_spaces(text)
+@F.pandas_udf(T.StringType())
+def _squeeze(texts: pd.Series) -> pd.Series:
+    return texts.map(without_spaces, na_action="ignore")
 
 
 def squeezed(f: Column) -> Column:
@@ -24,9 +25,9 @@ def squeezed(f: Column) -> Column:
     return F.when(plain, F.regexp_replace(f, r"\s+", "")).otherwise(_squeeze(F.when(~plain, f)))
 
 
-def paired(a: DataFrame, b: DataFrame, keys: list[str] = schema.KEY, order: str | None = None) -> DataFrame:
+def paired(a: DataFrame, b: DataFrame, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Full outer join by position: columns a_* and b_*, ``in_a`` and ``in_b``. With ``order``, duplicates are last-wins first."""
-    sides = []
+    keys, sides = keys or schema.key(a, b), []
     for df, p in ((a, "a_"), (b, "b_")):
         df = last_wins(df, keys, order) if order else df
         own = [c for c in VALUES if c in df.columns]
@@ -68,8 +69,15 @@ def mismatch_buckets(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~F.coalesce(value_match(), F.lit(False))).groupBy(kind.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def format_metrics(a: DataFrame, b: DataFrame, keys: list[str] = schema.KEY) -> DataFrame:
+def display_buckets(pairs: DataFrame) -> DataFrame:
+    """(fmt, n): cells that both sides display, but not alike, by the format code of the second, "General" without one."""
+    both = F.col("a_d").isNotNull() & F.col("b_d").isNotNull()
+    return pairs.filter(both & (F.col("a_d") != F.col("b_d"))).groupBy(F.coalesce("b_fmt", F.lit("General")).alias("fmt")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def format_metrics(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(fmt, cells, covered, display_total, display_matched) of the cells of ``b`` that have a format, left-joined to ``a``."""
+    keys = keys or schema.key(a, b)
     left = b.filter("fmt IS NOT NULL").select(*keys, "fmt", F.col("d").alias("bd"))
     joined = left.join(a.select(*keys, F.col("d").alias("ad")), keys, "left")
     both = F.col("ad").isNotNull() & F.col("bd").isNotNull()
@@ -78,7 +86,7 @@ def format_metrics(a: DataFrame, b: DataFrame, keys: list[str] = schema.KEY) ->
     )
 
 
-def round_trip(source: DataFrame, target: DataFrame, keys: list[str] = schema.KEY) -> DataFrame:
+def round_trip(source: DataFrame, target: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row: source cells with equal values and displays in the target, and target cells that the source lacks."""
     pairs = paired(source, target, keys)
     hit = F.coalesce(value_match(), F.lit(False))
@@ -90,7 +98,8 @@ def round_trip(source: DataFrame, target: DataFrame, keys: list[str] = schema.KE
     )
 
 
-def extra_cells(source: DataFrame, target: DataFrame, keys: list[str] = schema.KEY) -> DataFrame:
+def extra_cells(source: DataFrame, target: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or schema.key(source, target)
     return target.join(source.select(*keys), keys, "left_anti")
 
 
@@ -102,8 +111,9 @@ def sets_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
-def formula_agreement(evaluated: DataFrame, cached: DataFrame, keys: list[str] = schema.KEY) -> DataFrame:
+def formula_agreement(evaluated: DataFrame, cached: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(covered, evaluated, compared, agreed): results against the file's cached values, within 1e-9 absolute or relative."""
+    keys = keys or schema.key(evaluated, cached)
     e = evaluated.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("t", "vn", "vs", "vb")], F.lit(True).alias("done"))
     c = cached.filter("f IS NOT NULL").select(*keys, *[F.col(x).alias(f"b_{x}") for x in ("t", "vn", "vs", "vb")])
     joined = c.join(e, keys, "left")

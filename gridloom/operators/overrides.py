@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom import schema
 from gridloom.operators.store import last_wins
+from gridloom.session import cut
 
 
 class OverrideError(ValueError):
@@ -35,21 +36,30 @@ def validate(overrides: DataFrame, sheets: DataFrame) -> None:
         raise OverrideError("unsupported", "an override's number is not finite")
     if r[3]:
         raise OverrideError("too_large", "an override lies outside the grid")
-    grown = grow_extent(sheets, overrides).join(sheets.select("sheet", (F.col("rows") * F.col("cols")).alias("was")), "sheet")
+    on = schema.key(sheets, of=["sheet"])
+    grown = grow_extent(sheets, overrides).join(sheets.select(*on, (F.col("rows") * F.col("cols")).alias("was")), on)
     if not grown.filter((F.col("rows") * F.col("cols") > schema.MAX_EXTENT_CELLS) & (F.col("rows") * F.col("cols") > F.col("was"))).isEmpty():
         raise OverrideError("bomb", "an override makes a sheet too large")
 
 
 def collapse(overrides: DataFrame) -> DataFrame:
     """One row for each cell: the last in array order."""
-    return last_wins(overrides, schema.KEY)
+    return last_wins(overrides, schema.key(overrides))
+
+
+def small(layer: DataFrame) -> tuple[DataFrame, bool]:
+    """The layer, computed once, and whether its rows are counted to be few enough (MAX_OVERRIDES) to broadcast."""
+    layer = cut(layer)
+    return layer, layer.count() <= schema.MAX_OVERRIDES
 
 
 def grow_extent(sheets: DataFrame, overrides: DataFrame) -> DataFrame:
     """(sheet, rows, cols): the base extent or the far corner of the overrides, whichever is larger."""
-    far = overrides.groupBy("sheet").agg((F.max("r") + 1).alias("orow"), (F.max("c") + 1).alias("ocol"))
-    joined = sheets.select("sheet", "rows", "cols").join(F.broadcast(far), "sheet", "left")
-    return joined.select("sheet", F.greatest("rows", F.coalesce("orow", F.lit(0))).cast("long").alias("rows"), F.greatest("cols", F.coalesce("ocol", F.lit(0))).cast("long").alias("cols"))
+    on = schema.key(sheets, overrides, of=["sheet"])
+    far = overrides.groupBy(*on).agg((F.max("r") + 1).alias("orow"), (F.max("c") + 1).alias("ocol"))
+    names = schema.key(sheets, of=["sheet"])
+    joined = sheets.select(*names, "rows", "cols").join(far, on, "left")
+    return joined.select(*names, F.greatest("rows", F.coalesce("orow", F.lit(0))).cast("long").alias("rows"), F.greatest("cols", F.coalesce("ocol", F.lit(0))).cast("long").alias("cols"))
 
 
 def apply(cells: DataFrame, overrides: DataFrame, display=None) -> DataFrame:
@@ -57,27 +67,31 @@ def apply(cells: DataFrame, overrides: DataFrame, display=None) -> DataFrame:
     and the display made anew by ``display(t, vn, vs, vb, fmt)`` (null without a format). A number never becomes a
     date, a text that starts with = stays text, and a null clears the cell.
 
-    An edit layer is at most MAX_OVERRIDES rows, so it is broadcast; cells it does not name are not shuffled.
+    The layer is counted: up to MAX_OVERRIDES rows it is broadcast, so that cells it does not name are not shuffled; a
+    larger one meets the cells in a shuffle.
     """
-    over = collapse(overrides.filter("f IS NULL"))
-    o = F.broadcast(over.select(*schema.KEY, *[F.col(n).alias(f"o_{n}") for n in ("t", "vn", "vs", "vb")], F.lit(True).alias("hit")))
-    base = cells.join(o, schema.KEY, "left")
-    fresh = over.join(F.broadcast(cells.join(o, schema.KEY, "left_semi").select(*schema.KEY)), schema.KEY, "left_anti")
+    over, few = small(collapse(overrides.filter("f IS NULL")))
+    send, key = F.broadcast if few else (lambda df: df), schema.key(cells, over)
+    o = send(over.select(*key, *[F.col(n).alias(f"o_{n}") for n in ("t", "vn", "vs", "vb")], F.lit(True).alias("hit")))
+    base = cells.join(o, key, "left")
+    fresh = over.join(send(cells.join(o, key, "left_semi").select(*key)), key, "left_anti")
     new_t = schema.value_type(F.col("o_vn"), F.col("o_vs"), F.col("o_vb"))
     fmt = F.col("fmt") if "fmt" in cells.columns else F.lit(None).cast("string")
     shown = display(new_t, F.col("o_vn"), F.col("o_vs"), F.col("o_vb"), fmt) if display else F.lit(None).cast("string")
     put = {"t": new_t, "vn": F.col("o_vn"), "vs": F.col("o_vs"), "vb": F.col("o_vb"), "d": shown, "f": F.lit(None).cast("string")}
     changed = base.select(*[F.when(F.col("hit"), put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in cells.columns])
     kind = dict(cells.dtypes)
-    made = {"t": schema.value_type(F.col("vn"), F.col("vs"), F.col("vb")), **{k: F.col(k) for k in (*schema.KEY, "vn", "vs", "vb")}}
+    made = {"t": schema.value_type(F.col("vn"), F.col("vs"), F.col("vb")), **{k: F.col(k) for k in (*key, "vn", "vs", "vb")}}
     added = fresh.select(*[(made[c] if c in made else F.lit(None)).cast(kind[c]).alias(c) for c in cells.columns])
     return changed.unionByName(added)
 
 
 def replaced_formulas(cells: DataFrame, overrides: DataFrame) -> DataFrame:
     """(n): literal edits that land on formula cells."""
-    literal = collapse(overrides.filter("f IS NULL"))
-    return cells.filter("f IS NOT NULL").join(F.broadcast(literal.select(*schema.KEY)), schema.KEY, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    literal, few = small(collapse(overrides.filter("f IS NULL")))
+    key = schema.key(cells, literal)
+    places = literal.select(*key)
+    return cells.filter("f IS NOT NULL").join(F.broadcast(places) if few else places, key, "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scoped(overrides: DataFrame, sheet: int) -> DataFrame:
@@ -87,7 +101,8 @@ def scoped(overrides: DataFrame, sheet: int) -> DataFrame:
 
 def collapse_sizes(sizes: DataFrame) -> DataFrame:
     """(sheet, axis, at, size, clamped) of (ord, sheet, axis, at, size): the last wins, sizes clamped to the grid's limits."""
-    last = last_wins(sizes, ["sheet", "axis", "at"])
+    on = schema.key(sizes, of=["sheet", "axis", "at"])
+    last = last_wins(sizes, on)
     top = F.when(F.col("axis") == "col", F.lit(255.0)).otherwise(F.lit(409.5))
     held = F.when(F.isnan("size"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.col("size"), top)))
-    return last.select("sheet", "axis", "at", held.alias("size"), (~held.eqNullSafe(F.col("size"))).alias("clamped"))
+    return last.select(*on, held.alias("size"), (~held.eqNullSafe(F.col("size"))).alias("clamped"))

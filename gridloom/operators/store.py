@@ -18,27 +18,32 @@ def last_wins(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
 
 def build(cells: DataFrame, sheets: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Row-major cells, last duplicate kept, those outside their sheet's extent dropped."""
+    key = schema.key(cells)
     if order:
-        cells = last_wins(cells, schema.KEY, order).drop(order)
+        cells = last_wins(cells, key, order).drop(order)
     if sheets is not None:
-        cells = cells.join(F.broadcast(sheets.select("sheet", "rows", "cols")), "sheet").filter("r < rows AND c < cols").drop("rows", "cols")
-    return cells.repartitionByRange(*schema.KEY).sortWithinPartitions(*schema.KEY)
+        on = schema.key(cells, sheets, of=["sheet"])
+        cells = cells.join(sheets.select(*on, "rows", "cols"), on).filter("r < rows AND c < cols").drop("rows", "cols")
+    return cells.repartitionByRange(*key).sortWithinPartitions(*key)
 
 
 def save(cells: DataFrame, path: str, row_group_bytes: int = 8 << 20) -> None:
     """Range-sorted Parquet: row groups then prune by (sheet, r, c), and strings are dictionary-encoded."""
-    cells.repartitionByRange(*schema.KEY).sortWithinPartitions(*schema.KEY).write.option("parquet.block.size", row_group_bytes).mode("overwrite").parquet(path)
+    key = schema.key(cells)
+    cells.repartitionByRange(*key).sortWithinPartitions(*key).write.option("parquet.block.size", row_group_bytes).mode("overwrite").parquet(path)
 
 
 def extent(cells: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """(sheet, rows, cols): the far corner of the cells, or the declared one where that is larger."""
-    seen = cells.groupBy("sheet").agg((F.max("r") + 1).cast("long").alias("rows"), (F.max("c") + 1).cast("long").alias("cols"))
+    """(sheet, rows, cols), by workbook where there are several: the far corner of the cells, or the declared one where that
+    is larger."""
+    on = schema.key(cells, *([] if declared is None else [declared]), of=["sheet"])
+    seen = cells.groupBy(*on).agg((F.max("r") + 1).cast("long").alias("rows"), (F.max("c") + 1).cast("long").alias("cols"))
     if declared is None:
         return seen
-    d = declared.select("sheet", F.col("rows").alias("dr"), F.col("cols").alias("dc"))
-    both = seen.join(d, "sheet", "full_outer")
+    d = declared.select(*on, F.col("rows").alias("dr"), F.col("cols").alias("dc"))
+    both = seen.join(d, on, "full_outer")
     zero = F.lit(0).cast("long")
-    return both.select("sheet", *[F.greatest(F.coalesce(a, zero), F.coalesce(b, zero)).alias(a) for a, b in (("rows", "dr"), ("cols", "dc"))])
+    return both.select(*on, *[F.greatest(F.coalesce(a, zero), F.coalesce(b, zero)).alias(a) for a, b in (("rows", "dr"), ("cols", "dc"))])
 
 
 def check_window(nr: int, nc: int) -> None:
@@ -64,13 +69,13 @@ def dense_window(cells: DataFrame, rows: int, cols: int, sheet: int, r0: int, c0
     hr, hc = clip(rows, cols, r0, c0, nr, nc)
     spark = cells.sparkSession
     part = window(cells, sheet, r0, c0, nr, nc).drop("sheet")
-    grid = spark.range(hr * hc).select((F.col("id") / max(1, hc) + r0).cast("int").alias("r"), (F.col("id") % max(1, hc) + c0).cast("int").alias("c"))
+    grid = spark.range(hr * hc).select(F.floor(F.col("id") / max(1, hc) + r0).alias("r"), (F.col("id") % max(1, hc) + c0).cast("int").alias("c"))
     return grid.join(F.broadcast(part), ["r", "c"], "left")  # a window is at most MAX_WINDOW_CELLS
 
 
 def point(cells: DataFrame, sheet: int, r: int, c: int, order: str | None = None) -> DataFrame:
     found = cells.filter((F.col("sheet") == sheet) & (F.col("r") == r) & (F.col("c") == c))
-    return last_wins(found, schema.KEY, order) if order else found
+    return last_wins(found, schema.key(cells), order) if order else found
 
 
 def parse_merges(a1: DataFrame, column: str = "a1") -> DataFrame:
@@ -88,15 +93,20 @@ def merges_in(merges: DataFrame, sheet: int, r0: int, c0: int, nr: int, nc: int)
     return merges.filter((F.col("sheet") == sheet) & overlaps(r0, c0, nr, nc))
 
 
-def cap(cells: DataFrame, limit: int, keys: tuple[str, ...] = ("sheet", "r", "c")) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` cells in (sheet, r, c) order, and (sheet, truncated) of every sheet.
+def cap(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` cells of each workbook in (sheet, r, c) order, and (sheet, truncated) of every sheet.
 
-    The order's top rows are taken in each task and then merged; the flag compares counts.
+    Spark's group limit takes the first rows in each task before they meet; the flag compares counts.
     """
-    kept = cells.orderBy(*keys).limit(limit)
-    have = cells.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
-    held = kept.groupBy("sheet").agg(F.count(F.lit(1)).alias("k"))
-    flags = have.join(held, "sheet", "left").select("sheet", (F.coalesce("k", F.lit(0)) < F.col("n")).alias("truncated"))
+    on, key = schema.key(cells, of=["sheet"]), schema.key(cells)
+    if "workbook" in cells.columns:
+        place = F.row_number().over(Window.partitionBy("workbook").orderBy(*schema.KEY))
+        kept = cells.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__place")
+    else:
+        kept = cells.orderBy(*key).limit(limit)
+    have = cells.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    held = kept.groupBy(*on).agg(F.count(F.lit(1)).alias("k"))
+    flags = have.join(held, on, "left").select(*on, (F.coalesce("k", F.lit(0)) < F.col("n")).alias("truncated"))
     return kept, flags
 
 
@@ -114,8 +124,9 @@ def meta(sheets: DataFrame) -> DataFrame:
 def overlay(part: DataFrame, evaluated: DataFrame) -> DataFrame:
     """``part`` with t, value and display of evaluated cells in place, flagged ``e``. A null display also overwrites."""
     names = ["t", "vn", "vs", "vb", "d"]
-    over = evaluated.select(*schema.KEY, F.lit(True).alias("e"), *[F.col(n).alias(f"__{n}") for n in names])
-    joined = part.join(over, schema.KEY, "left")
+    key = schema.key(part, evaluated)
+    over = evaluated.select(*key, F.lit(True).alias("e"), *[F.col(n).alias(f"__{n}") for n in names])
+    joined = part.join(over, key, "left")
     keep = [c for c in part.columns if c not in names]
     return joined.select(*keep, *[F.when(F.col("e"), F.col(f"__{n}")).otherwise(F.col(n)).alias(n) for n in names], F.coalesce("e", F.lit(False)).alias("e"))
 
@@ -127,17 +138,18 @@ def scan_sheet(cells: DataFrame, sheet: int) -> DataFrame:
 def intern_styles(cells: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """Style fields of cells as a numbered table, numbers by first use in row-major order, the default style null.
 
-    The first uses are one row a style; only they are numbered in one window.
+    The first uses are one row a style; only they are numbered, those of each workbook in a window of its own.
     """
+    book = schema.key(cells, of=[])
     default = F.lit(True)
     for f in fields:
         default = default & F.coalesce(~F.col(f).cast("boolean") if dict(cells.dtypes)[f] == "boolean" else F.col(f).isNull(), F.lit(True))
     key = F.struct(*fields)
-    used = cells.filter(~default).groupBy(*fields).agg(F.min(F.struct(*schema.KEY)).alias("__at"))
-    styles = used.withColumn("style_id", (F.row_number().over(Window.orderBy("__at")) - 1).cast("int")).drop("__at")
-    same = [cells[f].eqNullSafe(styles[f]) for f in fields]
+    used = cells.filter(~default).groupBy(*book, *fields).agg(F.min(F.struct(*schema.KEY)).alias("__at"))
+    styles = used.withColumn("style_id", (F.row_number().over(Window.partitionBy(*book).orderBy("__at")) - 1).cast("int")).drop("__at")
+    same = [cells[f].eqNullSafe(styles[f]) for f in [*book, *fields]]
     joined = cells.join(styles, same, "left").select(*[cells[c] for c in cells.columns if c not in fields], styles["style_id"].alias("s"))
-    return joined, styles.select("style_id", *fields)
+    return joined, styles.select(*book, "style_id", *fields)
 
 
 def expand_ranges(declared: DataFrame, used: int, spare: int = 256) -> DataFrame:

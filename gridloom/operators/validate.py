@@ -35,20 +35,23 @@ def missing_keys(child: DataFrame, parent: DataFrame, on: str, parent_key: str)
 
 
 def cell_violations(cells: DataFrame, sheets: DataFrame, styles: DataFrame | None = None) -> DataFrame:
-    """(sheet, r, c, rule): outside the extent, no known type, a value that does not fit its type, twice the same place,
-    a style that is not there."""
-    tag = lambda df, rule: df.select(*schema.KEY, F.lit(rule).alias("rule"))
-    held = cells.join(F.broadcast(sheets.select("sheet", "rows", "cols")), "sheet", "left")
+    """(sheet, r, c, rule), with the workbook where cells have one: outside the extent, no known type, a value that does not
+    fit its type, twice the same place, a style that is not there."""
+    key, on = schema.key(cells), schema.key(cells, sheets, of=["sheet"])
+    tag = lambda df, rule: df.select(*key, F.lit(rule).alias("rule"))
+    held = cells.join(sheets.select(*on, "rows", "cols"), on, "left")
     number, text, flag = F.col("vn").isNotNull(), F.col("vs").isNotNull(), F.col("vb").isNotNull()
     fits = F.when(F.col("t") == "n", ~text & ~flag).when(F.col("t") == "b", ~text & ~number).otherwise(~number & ~flag)
     parts = [
         tag(held.filter("rows IS NULL OR r >= rows OR c >= cols OR r < 0 OR c < 0"), "extent"),
         tag(cells.filter(~F.coalesce(F.col("t").isin(*schema.TYPES), F.lit(False))), "type"),
         tag(cells.filter(F.col("t").isin(*schema.TYPES) & ~fits), "value"),
-        tag(cells.groupBy(*schema.KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate"),
+        tag(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate"),
     ]
     if styles is not None:
-        parts.append(tag(missing_keys(cells, styles, "s", "style_id"), "style"))
+        own = schema.key(cells, styles, of=["s"])
+        known = styles.withColumnRenamed("style_id", "s").select(*own).distinct()
+        parts.append(tag(cells.filter("s IS NOT NULL").join(known, own, "left_anti"), "style"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def order_cells(spark, sf_dir) -> DataFrame:
 
 # What the oracles share: a table as typed cells.
 LINE_SQL = """
-n AS (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INT AS r FROM lineitem),
+n AS (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::BIGINT AS r FROM lineitem),
 cells AS (
   SELECT r, 0 AS c, 'n' AS t, l_orderkey::DOUBLE AS vn, NULL::VARCHAR AS vs FROM n
   UNION ALL SELECT r, 1, 'n', l_partkey::DOUBLE, NULL FROM n
@@ -38,7 +39,7 @@ cells AS (
   UNION ALL SELECT r, 6, 'd', NULL, strftime(l_shipdate, '%Y-%m-%d') FROM n
 )"""
 ORDER_SQL = """
-n AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1)::INT AS r FROM orders),
+n AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS r FROM orders),
 cells AS (
   SELECT r, 0 AS c, 'n' AS t, o_orderkey::DOUBLE AS vn, NULL::VARCHAR AS vs FROM n
   UNION ALL SELECT r, 1, 'n', o_custkey::DOUBLE, NULL FROM n
@@ -53,6 +54,23 @@ def window_lineitem(spark, sf_dir):
     return store.window(line_cells(spark, sf_dir), 0, 100, 2, 64, 5).select("r", "c", "t", "vn", "vs")
 
 
+def saved_lines(spark, sf_dir) -> DataFrame:
+    """The line items' sheet as a saved store, range-sorted Parquet; written once for each input and code version."""
+    from gridloom.session import shared_path
+
+    path = shared_path(spark, "store", sf_dir, *LINE_KEY, *LINE_COLS)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        store.save(line_cells(spark, sf_dir), path)
+        return spark.read.parquet(path)
+
+
+@query("window_saved_store", f"WITH {LINE_SQL} SELECT r, c, t, vn, vs FROM cells WHERE r BETWEEN 500 AND 563 AND c BETWEEN 1 AND 6")
+def window_saved_store(spark, sf_dir):
+    return store.window(saved_lines(spark, sf_dir), 0, 500, 1, 64, 6).select("r", "c", "t", "vn", "vs")
+
+
 @query("window_clip_edge", f"WITH {ORDER_SQL}, m AS (SELECT max(r) + 1 AS rows FROM n) SELECT r, c, t, vn, vs FROM cells, m WHERE r >= rows - 10 AND c >= 3")
 def window_clip_edge(spark, sf_dir):
     cells = order_cells(spark, sf_dir)
@@ -66,7 +84,7 @@ def window_outside_empty(spark, sf_dir):
     return store.window(order_cells(spark, sf_dir), 0, 2_000_000_000, 0, 64, 24).select("r", "c", "t", "vn", "vs")
 
 
-@query("window_dense", f"WITH {ORDER_SQL}, g AS (SELECT (i // 4 + 5)::INT AS r, (i % 4 + 1)::INT AS c FROM range(24) x(i)) SELECT g.r, g.c, t, vn, vs FROM g LEFT JOIN cells USING (r, c)")
+@query("window_dense", f"WITH {ORDER_SQL}, g AS (SELECT (i // 4 + 5)::BIGINT AS r, (i % 4 + 1)::INT AS c FROM range(24) x(i)) SELECT g.r, g.c, t, vn, vs FROM g LEFT JOIN cells USING (r, c)")
 def window_dense(spark, sf_dir):
     cells = order_cells(spark, sf_dir)
     return store.dense_window(cells, 1_000, 5, 0, 5, 1, 6, 9).select("r", "c", "t", "vn", "vs")
@@ -77,7 +95,7 @@ def point_lookup_orders(spark, sf_dir):
     return store.point(order_cells(spark, sf_dir), 0, 42, 3).select("r", "c", "t", "vn", "vs")
 
 
-@query("sheet_scan_region", "SELECT r_regionkey::INT AS r, 1 AS c, r_name AS vs FROM region")
+@query("sheet_scan_region", "SELECT r_regionkey::BIGINT AS r, 1 AS c, r_name AS vs FROM region")
 def sheet_scan_region(spark, sf_dir):
     cells = sheetify.to_cells(table(spark, sf_dir, "region"), ["r_regionkey"])
     return store.scan_sheet(cells.filter("c = 1"), 0).select("r", "c", "vs")
@@ -140,7 +158,7 @@ def order_edits(spark, sf_dir) -> DataFrame:
     rows = sheetify.with_row_number(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
     edits = rows.filter("r % 7 = 0").select((F.col("r") * 2).alias("ord"), "r", (F.col("o_totalprice") * 2).alias("vn"))
     cleared = rows.filter("r % 14 = 0").select((F.col("r") * 2 + 1).alias("ord"), "r", F.lit(None).cast("double").alias("vn"))
-    beyond = rows.agg((F.max("r") + 10).alias("r")).select(F.lit(0).alias("ord"), F.col("r").cast("int"), F.lit(1.5).alias("vn"))
+    beyond = rows.agg((F.max("r") + 10).alias("r")).select(F.lit(0).alias("ord"), F.col("r"), F.lit(1.5).alias("vn"))
     none = [F.lit(None).cast("string").alias("vs"), F.lit(None).cast("boolean").alias("vb"), F.lit(None).cast("string").alias("f")]
     typed = edits.unionByName(cleared).unionByName(beyond).withColumn("c", F.lit(3)).withColumn("sheet", F.lit(0))
     return typed.select("ord", "sheet", "r", "c", F.when(F.col("vn").isNull(), "s").otherwise("n").alias("t"), "vn", *none)
@@ -149,7 +167,7 @@ def order_edits(spark, sf_dir) -> DataFrame:
 @query(
     "override_apply_orders",
     f"""WITH {ORDER_SQL}, e AS (SELECT r, CASE WHEN r % 14 = 0 THEN NULL ELSE o_totalprice * 2 END AS v FROM n WHERE r % 7 = 0 UNION ALL SELECT max(r) + 10, 1.5 FROM n)
-        SELECT coalesce(cells.r, e.r)::INT AS r, coalesce(cells.c, 3)::INT AS c, CASE WHEN e.r IS NULL THEN t WHEN e.v IS NULL THEN 's' ELSE 'n' END AS t, CASE WHEN e.r IS NULL THEN vn ELSE e.v END AS vn, vs
+        SELECT coalesce(cells.r, e.r)::BIGINT AS r, coalesce(cells.c, 3)::INT AS c, CASE WHEN e.r IS NULL THEN t WHEN e.v IS NULL THEN 's' ELSE 'n' END AS t, CASE WHEN e.r IS NULL THEN vn ELSE e.v END AS vn, vs
         FROM cells FULL JOIN e ON cells.r = e.r AND cells.c = 3""",
 )
 def override_apply_orders(spark, sf_dir):
@@ -200,17 +218,18 @@ _POINTS_SQL = """p AS (SELECT l_orderkey, l_quantity AS q, CASE WHEN (l_orderkey
 @query(
     "formula_range_aggregates",
     f"""WITH {_POINTS_SQL} SELECT l_orderkey, max(CASE WHEN t = 'e' THEN '#N/A' END) AS error, coalesce(sum(q) FILTER (t = 'n'), 0)::DOUBLE AS "sum", count(*) FILTER (t = 'n') AS "count",
-        count(*) AS counta, coalesce(min(q) FILTER (t = 'n'), 0)::DOUBLE AS "min", coalesce(max(q) FILTER (t = 'n'), 0)::DOUBLE AS "max", bool_and(q <> 0) FILTER (t = 'n') AS "and", bool_or(q <> 0) FILTER (t = 'n') AS "or"
+        count(*) AS counta, coalesce(min(q) FILTER (t = 'n'), 0)::DOUBLE AS "min", coalesce(max(q) FILTER (t = 'n'), 0)::DOUBLE AS "max", bool_and(q <> 0) FILTER (t = 'n') AS "and", bool_or(q <> 0) FILTER (t = 'n') AS "or",
+        CASE WHEN count(*) FILTER (t = 'n') = 0 THEN '#VALUE!' END AS and_error, CASE WHEN count(*) FILTER (t = 'n') = 0 THEN '#VALUE!' END AS or_error
         FROM p GROUP BY l_orderkey""",
 )
 def formula_range_aggregates(spark, sf_dir):
     return formulas.range_aggregate(_line_points(spark, sf_dir), ["l_orderkey"], ["sum", "count", "counta", "min", "max", "and", "or"])
 
 
-@query("formula_average", f"WITH {_POINTS_SQL} SELECT l_orderkey, round(avg(q) FILTER (t = 'n'), 9) AS average FROM p GROUP BY l_orderkey")
+@query("formula_average", f"WITH {_POINTS_SQL} SELECT l_orderkey, round(avg(q) FILTER (t = 'n'), 9) AS average, CASE WHEN count(*) FILTER (t = 'n') = 0 THEN '#DIV/0!' END AS average_error FROM p GROUP BY l_orderkey")
 def formula_average(spark, sf_dir):
     out = formulas.range_aggregate(_line_points(spark, sf_dir), ["l_orderkey"], ["average"])
-    return out.select("l_orderkey", F.round("average", 9).alias("average"))
+    return out.select("l_orderkey", F.round("average", 9).alias("average"), "average_error")
 
 
 @query("formula_range_join", f"WITH {ORDER_SQL}, x AS (SELECT n_nationkey AS id, n_nationkey * 30 AS r0, n_nationkey * 30 + 200 AS r1 FROM nation) SELECT id, count(*) AS cells, round(sum(vn), 2) AS total FROM x JOIN cells ON r BETWEEN r0 AND r1 AND c BETWEEN 1 AND 3 GROUP BY id")
@@ -293,7 +312,7 @@ def formula_levels(spark, sf_dir):
 _CENTS = "floor(abs(x) * 100) + CASE WHEN abs(x) * 100 - floor(abs(x) * 100) >= 0.5 THEN 1 ELSE 0 END"
 
 
-@query("fmt_grouped", f"SELECT o_orderkey, CASE WHEN x < 0 THEN '-' ELSE '' END || format('{{:,d}}', (({_CENTS}) // 100)::BIGINT) || '.' || lpad(((({_CENTS})::BIGINT) % 100)::VARCHAR, 2, '0') AS d FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)")
+@query("fmt_grouped", f"SELECT o_orderkey, CASE WHEN x < 0 THEN '-' ELSE '' END || format('{{:,d}}', ({_CENTS})::BIGINT // 100) || '.' || lpad(((({_CENTS})::BIGINT) % 100)::VARCHAR, 2, '0') AS d FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)")
 def fmt_grouped(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", display.format_column("#,##0.00", F.col("o_totalprice")).alias("d"))
 
@@ -327,7 +346,13 @@ def fmt_general(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", display.format_column("General", F.col("p_size").cast("double")).alias("d"), display.format_column("General", F.col("p_size") / 4.0).alias("quarter"))
 
 
-@query("fmt_fraction")
+@query(
+    "fmt_fraction",
+    """WITH x AS (SELECT p_partkey, floor(p_retailprice)::BIGINT AS whole, round(p_retailprice * 100)::BIGINT % 100 AS k FROM part),
+       f AS (SELECT k, d, (k * d + 50) // 100 AS n, abs(k * d - 100 * ((k * d + 50) // 100))::DOUBLE / d AS off FROM (SELECT unnest(range(100)) AS k), (SELECT unnest(range(1, 100)) AS d)),
+       b AS (SELECT k, min_by(n, (off, d)) AS n, min_by(d, (off, d)) AS d FROM f GROUP BY k)
+       SELECT p_partkey, CASE WHEN n = 0 THEN whole || '      ' WHEN n = d THEN (whole + 1) || '      ' ELSE whole || ' ' || lpad(n::VARCHAR, 2, ' ') || '/' || rpad(d::VARCHAR, 2, ' ') END AS d FROM x JOIN b USING (k)""",
+)
 def fmt_fraction(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", display.format_column("# ??/??", F.col("p_retailprice")).alias("d"))
 
@@ -342,7 +367,7 @@ def fmt_scientific(spark, sf_dir):
 
 @query(
     "csv_line_orders",
-    """SELECT r, k::VARCHAR || ',' || s || ',"' || replace(o, '"', '""') || '"' AS line FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INT AS r, o_orderkey AS k, o_orderstatus AS s, o_orderpriority || ', "x"' AS o FROM orders)""",
+    """SELECT r, k::VARCHAR || ',' || s || ',"' || replace(o, '"', '""') || '"' AS line FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS r, o_orderkey AS k, o_orderstatus AS s, o_orderpriority || ', "x"' AS o FROM orders)""",
 )
 def csv_line_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.concat("o_orderpriority", F.lit(', "x"')).alias("o"))

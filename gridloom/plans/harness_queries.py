@@ -122,14 +122,15 @@ def format_coverage_rank(spark, sf_dir):
 
 @query(
     "manifest_summary",
-    """WITH e AS (SELECT source AS collection, lower(lang) AS ext, n_chars AS bytes, sha256(text) AS sha, doc_id % 5 = 0 AS private FROM documents)
-       SELECT 'total' AS kind, '' AS name, count(*) AS files, sum(bytes)::BIGINT AS bytes, count(DISTINCT CASE WHEN NOT private THEN sha END) AS distinct_sha FROM e
-       UNION ALL SELECT 'collection', collection, count(*), sum(bytes)::BIGINT, count(DISTINCT CASE WHEN NOT private THEN sha END) FROM e GROUP BY collection
-       UNION ALL SELECT 'extension', ext, count(*), sum(bytes)::BIGINT, count(DISTINCT CASE WHEN NOT private THEN sha END) FROM e GROUP BY ext""",
+    """WITH e AS (SELECT source AS collection, lower(lang) AS ext, n_chars AS bytes, sha256(text) AS sha, doc_id % 5 = 0 AS private, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS stamp FROM documents)
+       SELECT 'total' AS kind, '' AS name, count(*) AS files, sum(bytes)::BIGINT AS bytes, count(DISTINCT CASE WHEN NOT private THEN sha END) AS distinct_sha, max(stamp) AS newest FROM e
+       UNION ALL SELECT 'collection', collection, count(*), sum(bytes)::BIGINT, count(DISTINCT CASE WHEN NOT private THEN sha END), max(stamp) FROM e GROUP BY collection
+       UNION ALL SELECT 'extension', ext, count(*), sum(bytes)::BIGINT, count(DISTINCT CASE WHEN NOT private THEN sha END), max(stamp) FROM e GROUP BY ext""",
 )
 def manifest_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    entries = docs.select(F.col("source").alias("collection"), F.col("lang").alias("ext"), F.col("n_chars").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), (F.col("doc_id") % 5 == 0).alias("private"))
+    entries = docs.select(F.col("source").alias("collection"), F.col("lang").alias("ext"), F.col("n_chars").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), (F.col("doc_id") % 5 == 0).alias("private"),
+                          F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("fetchedAt"))
     return scoreboard.manifest_summary(entries)
 
 
@@ -153,12 +154,13 @@ def triage_top20(spark, sf_dir):
 
 @query(
     "stratified_sample",
-    """WITH r AS (SELECT doc_id AS id, lang AS ext, row_number() OVER (PARTITION BY lang ORDER BY sha256('seed' || chr(0) || doc_id), doc_id) AS turn FROM documents)
+    """WITH r AS (SELECT doc_id AS id, lang AS ext, row_number() OVER (PARTITION BY lang ORDER BY list_reduce(
+         list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, xor(14695981039346656037::HUGEINT, 2024::HUGEINT)), doc_id) AS turn FROM documents)
        SELECT id, ext, turn::INT AS turn FROM r ORDER BY turn, ext LIMIT 40""",
 )
 def stratified_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("ext"))
-    return scoreboard.stratified_sample(docs, 40, "seed").select("id", "ext", "turn")
+    return scoreboard.stratified_sample(docs, 40, 2024).select("id", "ext", "turn")
 
 
 @query("validate_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -181,7 +183,7 @@ def validate_fk(spark, sf_dir):
 
 @query(
     "validate_cells",
-    """WITH n AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INT AS r, * FROM orders)
+    """WITH n AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS r, * FROM orders)
        SELECT 0 AS sheet, r, 0 AS c, 'extent' AS rule FROM n WHERE r >= 900 UNION ALL SELECT 0, r, 0, 'value' FROM n WHERE r % 100 = 3""",
 )
 def validate_cells(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,12 @@ WORKBOOKS = _struct(workbook=S, sha256=S, ok=B, code=S, msg=S, truncated=B, date
 KEY = ["sheet", "r", "c"]
 
 
+def key(*frames: DataFrame, of: list[str] = KEY) -> list[str]:
+    """The columns that name a cell (or ``of``) in all ``frames``: with the workbook where every one of them has it, so that
+    cells of several files are never taken for each other. An edit layer without workbooks holds for each."""
+    return [*(["workbook"] if all("workbook" in f.columns for f in frames) else []), *of]
+
+
 def value_type(vn: Column, vs: Column, vb: Column) -> Column:
     """The type tag of a literal: number, bool, else text (also for null)."""
     return F.when(vn.isNotNull(), "n").when(vb.isNotNull(), "b").otherwise("s")

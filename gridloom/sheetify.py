@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Range buckets of a global row number; each is numbered by its own task.
-BUCKETS = 64
+from gridloom.session import cut, shuffle_partitions
 
+#: Places within a range take so many bits of a row's number while it is made.
+PLACE_BITS = 33
 
-def with_row_number(df: DataFrame, order: list[str], out: str = "r", buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with its zero-based place in a total order, without sorting all rows in one task.
 
-    Rows fall into ranges of the first order column by approximate quantiles (``buckets`` numbers, the only thing
-    that the driver learns); a range's offset is the count of those before it. A table of one range is one window.
+def with_row_number(df: DataFrame, order: list[str], out: str = "r", ranges: int | None = None) -> DataFrame:
+    """``df`` with its zero-based place (long) in the order of the columns ``order``, nulls first.
+
+    Rows are range-partitioned and sorted by the whole order, so equal first columns and text are spread too; a row's number
+    is its place in its range plus the rows of the ranges before it. The rows are written once, in the checkpoint folder,
+    so that ranges stay what they were when they were counted; what the driver learns is a count for each range.
     """
-    first = df.schema[order[0]].dataType
-    cuts = []
-    if isinstance(first, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        wanted = [k / buckets for k in range(1, buckets)]
-        found = df.agg(F.percentile_approx(order[0], wanted, 1000).alias("q")).first()["q"]
-        cuts = sorted(set(found or []))
-    w = Window.partitionBy("__bucket").orderBy(*order)
-    if not cuts:
-        return df.withColumn("__bucket", F.lit(0)).withColumn(out, (F.row_number().over(w) - 1).cast("int")).drop("__bucket")
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    placed = df.withColumn("__bucket", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(order[0]))), F.lit(0)))
-    counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    joined = placed.join(F.broadcast(offsets), "__bucket")  # at most ``buckets`` rows
-    return joined.withColumn(out, (F.row_number().over(w) - 1 + F.col("__off")).cast("int")).drop("__bucket", "__off")
+    n = ranges or shuffle_partitions(df)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", PLACE_BITS), F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())  # a row for each range
+    starts, start = [], 0
+    for p, rows in counts:
+        starts.append((p, start))
+        start += rows
+    offsets = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    numbered = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return numbered.withColumn(out, F.col("__start") + place).drop("__part", "__start", "__at")
 
 
 def _cell(df: DataFrame, name: str, c: int):

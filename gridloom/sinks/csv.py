@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +16,9 @@ from gridloom.functions.numfmt import shortest
 DROPPED = ("formulas (values are exported)", "number formats (displays are exported)", "styles", "merged ranges", "column widths and row heights", "other sheets")
 
 
-@F.udf(T.StringType())
-def _shortest(x):
-    return None if x is None else shortest(x)
+@F.pandas_udf(T.StringType())
+def _shortest(numbers: pd.Series) -> pd.Series:
+    return numbers.map(shortest, na_action="ignore").astype(object)
 
 
 def number_text(v: Column) -> Column:
@@ -39,18 +40,20 @@ def quoted(text: Column) -> Column:
     return F.when(text.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def lines(cells: DataFrame, cols: int, rows: int | None = None) -> DataFrame:
-    """(r, line): a row of the grid as text, blank cells empty. With ``rows``, rows without cells are there too.
+def lines(cells: DataFrame, cols: int, rows: int | None = None, order: str | None = None) -> DataFrame:
+    """(r, line): a row of the grid as text, blank cells empty. With ``rows``, rows without cells are there too. Of a cell
+    that is repeated the last by ``order`` counts, without an order the greatest text.
 
-    A row's cells meet in one aggregation; a grid has at most 16,384 columns, which bounds a group.
+    A row's cells meet in one task; a grid has at most 16,384 columns, which bounds a group.
     """
-    fields = cells.filter(F.col("c") < cols).select("r", "c", quoted(shown(cells)).alias("x"))
+    fields = cells.filter(F.col("c") < cols).select("r", "c", quoted(shown(cells)).alias("x"), (F.col(order) if order else F.lit(0)).alias("o"))
+    fields = fields.repartition("r").groupBy("r", "c").agg(F.max(F.struct("o", "x")).alias("m")).select("r", "c", "m.x")
     got = fields.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("c", "x"))).alias("m"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(""))), ",")
     out = got.select("r", line.alias("line"))
     if rows is None:
         return out
-    every = cells.sparkSession.range(rows).select(F.col("id").cast("int").alias("r"))
+    every = cells.sparkSession.range(rows).select(F.col("id").alias("r"))
     return every.join(out, "r", "left").select("r", F.coalesce("line", F.lit("," * (cols - 1))).alias("line"))
 
 

@@ -68,10 +68,54 @@ def test_overrides(spark):
 @pytest.mark.parametrize("n", [0, 1, 500])
 def test_row_numbers(spark, n):
     df = spark.range(n).select(((F.col("id") * 7919) % 1009).alias("k"), "id")
-    got = sheetify.with_row_number(df, ["k", "id"], buckets=8).collect()
+    got = sheetify.with_row_number(df, ["k", "id"], ranges=8).collect()
     assert [x.r for x in sorted(got, key=lambda x: (x.k, x.id))] == list(range(n))
 
 
+def test_row_numbers_of_text_and_equal_first_keys(spark):
+    rows = [(None if k % 50 == 0 else "same" if k % 3 else f"t{k * 7919 % 1009:04d}", k) for k in range(800)]
+    got = sheetify.with_row_number(spark.createDataFrame(rows, "k string, id long").repartition(5), ["k", "id"], ranges=6).collect()
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert [(x.k, x.id) for x in sorted(got, key=lambda x: x.r)] == want and dict(spark.createDataFrame(rows[:1], "k string, id long").transform(lambda d: sheetify.with_row_number(d, ["k"])).dtypes)["r"] == "bigint"
+
+
+def two_books(spark):
+    rows = [("a.xlsx", *cell(0, 0, 0, 1.0, 0)), ("a.xlsx", *cell(0, 0, 0, 2.0, 1)), ("b.xlsx", *cell(0, 0, 0, 3.0, 2)), ("b.xlsx", *cell(0, 4, 2, 4.0, 3)), ("a.xlsx", *cell(1, 1, 1, True, 4))]
+    return spark.createDataFrame(rows, "workbook string, " + CELL)
+
+
+def test_cells_of_two_workbooks_stay_apart(spark):
+    ready(spark)
+    cells = two_books(spark)
+    built = store.build(cells, order="ord")
+    assert {(x.workbook, x.sheet, x.r, x.c): x.vn for x in built.collect()} == {("a.xlsx", 0, 0, 0): 2.0, ("b.xlsx", 0, 0, 0): 3.0, ("b.xlsx", 0, 4, 2): 4.0, ("a.xlsx", 1, 1, 1): None}
+    sheets = spark.createDataFrame([("a.xlsx", 0, 1, 1), ("a.xlsx", 1, 2, 2), ("b.xlsx", 0, 1, 1)], "workbook string, sheet int, rows long, cols long")
+    assert store.build(cells, sheets, "ord").count() == 3
+    assert {(x.workbook, x.sheet): (x.rows, x.cols) for x in store.extent(built).collect()} == {("a.xlsx", 0): (1, 1), ("a.xlsx", 1): (2, 2), ("b.xlsx", 0): (5, 3)}
+    kept, flags = store.cap(built, 1)
+    assert sorted((x.workbook, x.vn) for x in kept.collect()) == [("a.xlsx", 2.0), ("b.xlsx", 3.0)]
+    assert {(x.workbook, x.sheet): x.truncated for x in flags.collect()} == {("a.xlsx", 0): False, ("a.xlsx", 1): True, ("b.xlsx", 0): True}
+    assert sorted((x.workbook, x.r, x.rule) for x in validate.cell_violations(cells, sheets).collect()) == [("a.xlsx", 0, "duplicate"), ("b.xlsx", 4, "extent")]
+    other = built.withColumn("vn", F.when(F.col("workbook") == "a.xlsx", F.col("vn") + 1).otherwise(F.col("vn")))
+    r = diff.round_trip(built, other).first()
+    assert (r.total, r.value_matched, r.extra) == (4, 3, 0)
+    styled = built.select("workbook", "sheet", "r", "c", (F.col("vn") > 1).alias("bold"))
+    _, styles = store.intern_styles(styled, ["bold"])
+    assert sorted((x.workbook, x.style_id) for x in styles.collect()) == [("a.xlsx", 0), ("b.xlsx", 0)]
+
+
+def test_books_by_their_own_names_and_dates(spark):
+    ready(spark)
+    none = (None,) * 3
+    rows = [("a", 0, 0, 0, "n", 1.0, *none[:2], None, "First!B1+1", "yyyy"), ("a", 0, 0, 1, "n", 2.0, *none[:2], None, None, None), ("b", 0, 0, 0, "n", 1.0, *none[:2], None, "Second!A1+1", "yyyy"), ("b", 1, 0, 0, "n", 9.0, *none[:2], None, None, None), ("c", 0, 0, 0, "n", 0.0, *none[:2], None, "First!A2", None)]
+    cells = spark.createDataFrame(rows, "workbook string, sheet int, r int, c int, t string, vn double, vs string, vb boolean, d string, f string, fmt string")
+    sheets = spark.createDataFrame([("a", 0, "First"), ("b", 0, "Other"), ("b", 1, "Second")], "workbook string, sheet int, name string")
+    books = spark.createDataFrame([("a", False), ("b", True)], "workbook string, date_1904 boolean")
+    done = formulas.evaluate_books(cells, sheets, books)
+    assert sorted((x.workbook, x.vn, x.d) for x in done.collect()) == [("a", 3.0, "1900"), ("b", 10.0, "1904")]
+    assert [tuple(x) for x in formulas.unevaluated(cells, done).collect()] == [("c", 0, 1)]
+
+
 def test_sheetify_back(spark):
     df = spark.createDataFrame([(2, "b", True), (1, "a", None)], "k int, s string, f boolean")
     cells = sheetify.to_cells(df, ["k"])
@@ -93,6 +137,8 @@ def test_csv_text(spark, tmp_path):
     ready(spark)
     path = str(tmp_path / "a.csv")
     csv_sink.write_file(spark.createDataFrame(rows, CELL).drop("d"), path, 4, 3)
+    twice = spark.createDataFrame([*rows, cell(0, 0, 0, 7.0, 1)], CELL).drop("d")
+    assert csv_sink.lines(twice, 3, order="ord").filter("r = 0").first().line.startswith("7,")
     assert open(path, newline="").read() == '1,"a""b",\r\n,,TRUE\r\n,,\r\n1000000000000000000000,0.1,"l1\r\nl2"\r\n'
 
 
@@ -124,7 +170,23 @@ def test_scoreboard_edges(spark):
     assert r.x_percent is None and scoreboard.latency(empty, "v").first().p50 is None
     values = spark.createDataFrame([(float(k),) for k in range(1, 11)], "v double")
     assert tuple(scoreboard.latency(values, "v").first()) == (5.0, 10.0, 10.0)
-    assert scoreboard.fnv1a("", "") == (scoreboard.FNV_OFFSET * scoreboard.FNV_PRIME) % 2**64
+    rng = random.Random(4)
+    many = [(rng.choice(["p", "q", None]), float(rng.randint(0, 40)) if rng.random() < 0.9 else None) for _ in range(700)]
+    got = {r.g: (r.a, r.b, r.max) for r in scoreboard.nearest_ranks(spark.createDataFrame(many, "g string, v double"), "v", {"a": 1, "b": 73}, ["g"]).collect()}
+    for g in ("p", "q", None):
+        own = sorted(v for k, v in many if k == g and v is not None)
+        assert got[g] == (own[-(-len(own) // 100) - 1], own[-(-73 * len(own) // 100) - 1], own[-1])
+    texts = ["", "a", "files/é.xlsx", "x" * 300]
+
+    def hashed(seed, text):
+        h = scoreboard.FNV_OFFSET ^ seed
+        for b in text.encode():
+            h = (h ^ b) * scoreboard.FNV_PRIME % 2**64
+        return h
+
+    for seed in (0, 7, 2**63 + 5):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoreboard.seeded_hash(F.col("t"), seed).alias("h")).collect()
+        assert {r.t: (r.h.hi << 32) + r.h.lo for r in rows} == {t: hashed(seed, t) for t in texts}
     assert "| a |" in scoreboard.markdown_table(spark.createDataFrame([("a", 1.5, None)], "x string, y double, z string"))
 
 
