@@ -8,6 +8,10 @@
 4. How many curves and how wide a window is fitted: for ``FIT_QUERIES`` queries (a fixed bound) the true neighbours are
    found against all rows in blocks, and the cheapest setting that would have met ``RECALL`` of them is taken. Every
    row is indexed. Vectors without structure make the window wide, up to all blocks; clustered ones keep it narrow.
+5. A block meets its queries ``QUERIES`` at a time at most on average; products of whole matrices choose, exact cosines decide.
+
+Vectors are scaled by a power of two to components of at most 1 first, which leaves every cosine as it is and keeps squares
+of very large or very small numbers from overflowing or vanishing.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, neither as query nor as candidate; a null id takes no part; rows that repeat an id and vector are one; fewer
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_keys, lookup
 
-CURVES, PROJECTED, BITS, BLOCK = 3, 8, 7, 2048
+CURVES, PROJECTED, BITS, BLOCK, QUERIES = 3, 8, 7, 2048, 4096
+#: Distinct vectors that a task holds at once while it gathers their ids.
+HELD = 1 << 15
 FIT_QUERIES, RECALL = 64, 0.96
 
 
@@ -73,40 +79,53 @@ def curve_keys(unit: np.ndarray, directions: np.ndarray, shift: np.ndarray) -> n
     return hilbert_keys(np.clip((cell * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
 
 
+def scaled(vector: np.ndarray) -> np.ndarray:
+    """The vector times the power of two that brings its largest component to between 1/2 and 1."""
+    return np.ldexp(vector, -int(np.frexp(np.abs(vector).max())[1]))
+
+
 def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of one vector with each row, each from its own two vectors alone whatever else is in the block."""
     return np.array([float(np.sum(q * r)) / (float(np.sqrt(np.sum(q * q))) * float(np.sqrt(np.sum(r * r)))) for r in rows])
 
 
-def nearest_rows(q: np.ndarray, rows: np.ndarray, reps: np.ndarray, count: int) -> list[tuple[int, float]]:
-    """(row, exact cosine) of the ``count`` nearest rows, ties by rep. Products choose generously, exact ones decide."""
-    rough = (rows @ q) / np.sqrt((rows * rows).sum(1))
-    if len(rows) > 4 * count:
-        edge = np.partition(rough, len(rough) - count)[len(rough) - count]
-        chosen = np.flatnonzero(rough >= edge - 1e-9 * max(1.0, abs(edge)))
-    else:
-        chosen = np.arange(len(rows))
-    exact = cosines(q, rows[chosen])
-    order = np.lexsort((reps[chosen], -exact))[:count]
-    return [(int(chosen[i]), float(exact[i])) for i in order]
+def nearest_rows(queries: np.ndarray, rows: np.ndarray, reps: np.ndarray, count: int) -> Iterator[tuple[int, int, float]]:
+    """(query, row, exact cosine) of the ``count`` nearest rows of each query, ties by rep. Products choose generously, exact
+    cosines decide."""
+    unit = (rows / np.sqrt((rows * rows).sum(1, keepdims=True))).T
+    for at in range(0, len(queries), 256):
+        some = queries[at : at + 256]
+        rough = some / np.sqrt((some * some).sum(1, keepdims=True)) @ unit
+        edges = np.partition(rough, -count, axis=1)[:, -count] if len(rows) > count else np.full(len(some), -2.0)
+        for n, (q, near, edge) in enumerate(zip(some, rough, edges)):
+            chosen = np.flatnonzero(near >= edge - 1e-9)
+            exact = cosines(q, rows[chosen])
+            for i in np.lexsort((reps[chosen], -exact))[:count]:
+                yield at + n, int(chosen[i]), float(exact[i])
 
 
 CLASS = "vkey binary, ids array<long>, q boolean, vec binary"
 
 
 def _classes(count: int):
-    """A row for each distinct vector of the task, with its ``count`` smallest ids."""
+    """A row for each distinct vector that the task holds at a time, with its ``count`` smallest ids."""
+
+    def rows(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(k, sorted(-i for i in ids), q, a.tobytes()) for k, (a, ids, q) in held.items()], columns=["vkey", "ids", "q", "vec"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for batch in batches:
             for i, q, v in zip(batch["vec_id"], batch["q"], batch["v"]):
                 a = np.asarray(v, dtype="<f8")
-                own = held.setdefault(hashlib.md5(a.tobytes()).digest(), [a, [], False])
+                own = held.setdefault(hashlib.md5(a.tobytes()).digest(), [scaled(a), [], False])
                 own[2] |= bool(q)
                 if i is not None and i == i and -int(i) not in own[1]:
                     (heapq.heappush if len(own[1]) < count else heapq.heappushpop)(own[1], -int(i))
-        yield pd.DataFrame([(k, sorted(-i for i in ids), q, a.tobytes()) for k, (a, ids, q) in held.items()], columns=["vkey", "ids", "q", "vec"])
+            if len(held) >= HELD:
+                yield rows(held)
+                held = {}
+        yield rows(held)
 
     return run
 
@@ -116,8 +135,7 @@ def _keys(dim: int):
         for batch in batches:
             if not len(batch):
                 continue
-            m = np.frombuffer(b"".join(batch["vec"]), dtype="<f8").reshape(len(batch), dim)
-            unit = m / np.abs(m).max(1, keepdims=True)  # first, so that squares neither vanish nor overflow
+            unit = np.frombuffer(b"".join(batch["vec"]), dtype="<f8").reshape(len(batch), dim)
             unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
             for c, (directions, shift) in enumerate(projections(dim)):
                 yield batch.assign(curve=c, key=curve_keys(unit, directions, shift))
@@ -133,7 +151,7 @@ def _true_neighbours(vkeys: list[bytes], queries: np.ndarray, count: int):
             m = np.frombuffer(b"".join(batch["vec"]), dtype="<f8").reshape(len(batch), queries.shape[1])
             reps = np.array([int(x[0]) for x in batch["ids"]])
             keys = list(batch["vkey"])
-            rows = [(qk, keys[i], int(reps[i]), s) for qk, q in zip(vkeys, queries) for i, s in nearest_rows(q, m, reps, count)]
+            rows = [(vkeys[n], keys[i], int(reps[i]), s) for n, i, s in nearest_rows(queries, m, reps, count)]
             yield pd.DataFrame(rows, columns=["qkey", "vkey", "rep", "score"])
 
     return run
@@ -144,10 +162,9 @@ def _search(dim: int, count: int):
         if not len(rows) or not len(queries):
             return pd.DataFrame([], columns=["qkey", "ids", "score"])  # untyped columns turn into any Arrow type
         m = np.frombuffer(b"".join(rows["vec"]), dtype="<f8").reshape(len(rows), dim)
-        reps, ids = np.array([int(x[0]) for x in rows["ids"]]), list(rows["ids"])
-        out = []
-        for qk, v in zip(queries["vkey"], queries["vec"]):
-            out += [(qk, ids[i], s) for i, s in nearest_rows(np.frombuffer(v, dtype="<f8"), m, reps, count)]
+        asked = np.frombuffer(b"".join(queries["vec"]), dtype="<f8").reshape(len(queries), dim)
+        reps, ids, names = np.array([int(x[0]) for x in rows["ids"]]), list(rows["ids"]), list(queries["vkey"])
+        out = [(names[n], ids[i], s) for n, i, s in nearest_rows(asked, m, reps, count)]
         return pd.DataFrame(out, columns=["qkey", "ids", "score"])
 
     return run
@@ -165,7 +182,7 @@ def choose(gaps: dict[tuple, dict[int, int]], blocks: dict[int, int], recall: fl
     return len(blocks), width
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` to each row of ``queries``, other than the row itself."""
     spark = vectors.sparkSession
 
@@ -191,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return empty
 
     placed = classes.mapInPandas(_keys(dim), CLASS + ", curve int, key long")
-    placed = placed.repartitionByRange(max(1, CURVES * -(-n // BLOCK)), "curve", "key", "vkey").withColumn("__pid", F.spark_partition_id())
+    placed = placed.repartitionByRange(max(1, CURVES * -(-n // block)), "curve", "key", "vkey").withColumn("__pid", F.spark_partition_id())
     placed = cut(placed)
     spans = {r[0]: (r[1], r[2]) for r in placed.groupBy("curve").agg(F.min("__pid"), F.max("__pid")).collect()}
     first = F.element_at(F.create_map(*[F.lit(x) for c, (a, _) in spans.items() for x in (c, a)]), F.col("curve"))
@@ -216,7 +233,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     last = F.element_at(F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b - 1)]), F.col("curve"))
     reach = F.sequence(F.greatest(F.lit(0), F.col("block") - window), F.least(last, F.col("block") + window))
     sent = placed.filter((F.col("curve") < curves) & F.col("q")).select("curve", F.explode(reach).alias("block"), "vkey", "vec")
-    found = rows.groupBy("curve", "block").cogroup(sent.groupBy("curve", "block")).applyInPandas(_search(dim, k + 1), "qkey binary, ids array<long>, score double")
+    most = sent.groupBy("curve", "block").count().agg(F.max("count")).first()[0] or 0
+    deals = -(-most // QUERIES)  # a block's queries in so many parts, its rows once with each
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(max(0, deals - 1)))))
+    sent = sent.withColumn("deal", F.pmod(F.xxhash64("vkey"), F.lit(max(1, deals))).cast("int"))
+    met = ["curve", "block", "deal"]
+    found = rows.groupBy(*met).cogroup(sent.groupBy(*met)).applyInPandas(_search(dim, k + 1), "qkey binary, ids array<long>, score double")
     found = found.select("qkey", F.explode("ids").alias("vec_id"), "score").distinct()
     w = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k + 1)

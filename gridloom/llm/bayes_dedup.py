@@ -56,12 +56,12 @@ BLOCK = ["key", "x", "y", "part", "node", "root", "n_shingles", "sig", "bands"]
 
 
 class _Words(dict):
-    """64-bit hash of a word, by BLAKE2b; a dictionary that starts anew when it holds a million words."""
+    """64-bit hash of a word, by BLAKE2b; a dictionary that starts anew when it holds a quarter of a million words."""
 
     def __missing__(self, word: bytes) -> int:
         import hashlib
 
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -444,3 +444,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = _verdicts(docs, id_col, text_col).filter("chosen IS NOT NULL")
     verdict = rows.groupBy("row_key").agg(F.first(F.col("chosen.row_key") == F.col("row_key")).alias("stays"), F.count(F.lit(1)).alias("n"))
     return without_rows(docs, row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")), cut(verdict.filter("NOT stays OR n > 1")))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -7,6 +7,9 @@ the character ranges that the assistant wrote. Turns are cut into parts of ``par
 by a distributed running count, so that a conversation of any length is rendered by many tasks; ordinary
 conversations are one part.
 
+Markers are ``<|...|>``. A ``<|`` in a text, and a ``<|`` or ``|>`` in a role, gets a space in its middle, so no text or name
+can begin a turn or end one. ``speaker`` is the role as it was.
+
 Edge cases: a null role is the participant "unknown"; a null text is empty; turns with equal numbers stand in the
 order of role and text hash, null numbers first; repeated rows are turns of their own; roles in ``silent`` (system) are
 rendered in every view and have no view; a conversation of silent turns alone has no view; the null conversation is
@@ -18,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, lookup, shuffle_partitions
+from .common import cut, hot_keys, shuffle_partitions
 
 PART_TURNS = 64
+#: Tasks over which the parts of a hot conversation are dealt.
+SALTS = 64
 
 
 def numbered(turns: DataFrame, key: str, order: list) -> DataFrame:
@@ -55,12 +60,17 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ranked = ranked.withColumn("part", F.floor(F.col("__rank") / part_turns).cast("long"))
     parts = ranked.groupBy("__c", "part").agg(F.sort_array(F.collect_list(F.struct("__rank", "role", "body"))).alias("__turns"))
     parts = cut(parts)
-    speakers = base.filter(~F.col("role").isin(*silent)).groupBy("__c", "role").agg(F.count(F.lit(1)).alias("__k"))
-    speakers = speakers.groupBy("__c").agg(F.sort_array(F.collect_set("role")).alias("__speakers"))
-    views = lookup(parts, speakers, "__c", hot_keys(parts, "__c"), "inner")
-    views = views.withColumn("speaker", F.explode("__speakers"))
-    head = lambda t: F.when(t.role == F.col("speaker"), F.lit("<|assistant|>\n")).when(t.role.isin(*silent), F.concat(F.lit("<|"), t.role, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), t.role, F.lit("|>\n")))
-    pieces = F.transform("__turns", lambda t: F.struct(head(t).alias("head"), F.concat(t.body, F.lit("<|end|>\n")).alias("body"), (t.role == F.col("speaker")).alias("own")))
+    speakers = base.filter(~F.col("role").isin(*silent)).groupBy("__c", F.col("role").alias("speaker")).agg(F.count(F.lit(1)).alias("__k")).drop("__k")
+    # Parts of a hot conversation are dealt to SALTS tasks, to each of which its speakers go.
+    hot = hot_keys(parts, "__c")
+    is_hot = F.col("__c").isin(hot) if hot else F.lit(False)
+    parts = parts.withColumn("__salt", F.when(is_hot, F.pmod("part", F.lit(SALTS))).otherwise(0).cast("long"))
+    speakers = speakers.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    views = parts.join(speakers, ["__c", "__salt"])
+    name = lambda role: F.replace(F.replace(role, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    said = lambda body: F.replace(body, F.lit("<|"), F.lit("< |"))
+    head = lambda t: F.when(t.role == F.col("speaker"), F.lit("<|assistant|>\n")).when(t.role.isin(*silent), F.concat(F.lit("<|"), name(t.role), F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), name(t.role), F.lit("|>\n")))
+    pieces = F.transform("__turns", lambda t: F.struct(head(t).alias("head"), F.concat(said(t.body), F.lit("<|end|>\n")).alias("body"), (t.role == F.col("speaker")).alias("own")))
     views = views.withColumn("__pieces", pieces)
     lengths = F.transform("__pieces", lambda p: F.char_length(p.head) + F.char_length(p.body))
     views = views.withColumn("__len", lengths)
@@ -81,8 +91,8 @@ WITH t AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), p AS (
   SELECT r.conv_id, s.speaker, r.k // 64 AS part, r.k, role = speaker AS own,
-         CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
-         body || '<|end|>' || chr(10) AS body
+         CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' END || chr(10) AS head,
+         replace(body, '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at0 FROM p

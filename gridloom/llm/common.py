@@ -1,15 +1,13 @@
-"""Shared pieces: lineage cuts in the shared folder, skew-proof lookups, bounded prefix sums."""
+"""Shared pieces: skew-proof lookups, row keys, bounded prefix sums. Lineage is cut as everywhere in the package."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from gridloom.session import cut, ready, shuffle_partitions, table
+
+__all__ = ["cut", "hot_keys", "lookup", "lower_ascii", "prefix_sums", "ready", "row_key", "shuffle_partitions", "table", "without_rows"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,46 +16,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 512
 
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a shared path, or shipped by --py-files)."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ready(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and keep the rows in the folder that ``spark.checkpoint.dir`` names.
-
-    Spark reads that setting when its context starts; only where it is unset (tests, notebooks)
-    a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
-    # The rows are in the shared folder when this returns, so the shuffles that made them can go at once; else they stay
-    # until the driver happens to collect its garbage. The setting holds for plans that are made under it.
-    conf = df.sparkSession.conf
-    before = conf.get(TIDY, None)
-    conf.set(TIDY, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        if before is None:
-            conf.unset(TIDY)
-        else:
-            conf.set(TIDY, before)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -11,8 +11,8 @@ Running sums over a source are taken in two or more levels of hash buckets (abou
 source that holds most documents is spread over all tasks.
 
 Edge cases: a null text has no words; the null source is a source of its own, last in order; documents without
-words are taken 0 words (copies 1: they cost nothing); a null id sorts first; repeated rows are documents of
-their own; an empty table gives an empty result; other columns are not looked at.
+words are taken 0 words (copies 1: they cost nothing); null and repeated ids stand by their texts' hashes like any other;
+repeated rows are documents of their own; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, lookup, prefix_sums, shuffle_partitions
+from .common import cut, hot_keys, lookup, prefix_sums, row_key, shuffle_partitions
 
 #: Rows that a bucket holds on average; a bucket is the unit of the row-level window.
 BUCKET_ROWS = 1024
@@ -39,9 +39,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_key(id_col: Column) -> Column:
-    """A 60-bit pseudo-random number of the id."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def order_key(id_col: Column, text: Column) -> Column:
+    """A 60-bit pseudo-random number of the id and the text, so that rows that share an id, or have none, are spread too."""
+    named = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, curves=CURVES) -> DataFrame:
@@ -99,10 +100,20 @@ def curve_inverse(knots: Column, share: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, curves=CURVES) -> DataFrame:
     """One row for each document: ``id_col``, size, source_size, target, taken, position (of its first use), again
     (of its second pass), range-sorted by position; documents that the mix leaves out come last."""
-    base = cut(docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    out = _plan(docs, id_col, text_col, source_col, weights, share, cap, curves)
+    out = out.select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken", "position", "again")
+    return out.orderBy(F.col("position").asc_nulls_last(), id_col)
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, curves=CURVES, key_of_row: Column | None = None) -> DataFrame:
+    """The rows of :func:`mix` in no order, the id as __id; with ``key_of_row`` that value stands for the id."""
+    text = F.col(text_col).cast("string")
+    named = F.col(id_col) if key_of_row is None else key_of_row
+    base = docs.select(named.alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), order_key(F.col(id_col), text).alias("__u"))
+    base = cut(base)
     n = base.count()
-    bits = max(0, math.ceil(math.log2(max(1, n / BUCKET_ROWS))))
-    base = base.withColumn("__u", order_key(F.col("__id"))).withColumn("__bucket", F.shiftright(F.col("__u"), 60 - bits))
+    bits = max(0, math.ceil(math.log2(max(1, n / BUCKET_ROWS, min(n / 16, 4 * shuffle_partitions(base))))))
+    base = base.withColumn("__bucket", F.shiftright(F.col("__u"), 60 - bits))
     buckets = cut(base.groupBy("source", "__bucket").agg(F.sum("size").alias("__words")))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, cap, curves)
 
@@ -127,27 +138,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = placed.withColumn("taken", taken.cast("long"))
     out = out.withColumn("position", F.when((F.col("taken") > 0) | (F.col("size") == 0), at(F.col("__before"))))
     out = out.withColumn("again", F.when(F.col("taken") > F.col("size"), at(F.col("__before") + F.col("source_size"))))
-    out = out.select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken", "position", "again")
-    return out.orderBy(F.col("position").asc_nulls_last(), id_col)
+    return out
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, all columns, a row for each whole use.
 
-    A document is used round(taken / size) times; one without words once. Ids must be unique: a repeated id is
-    joined to each of its rows' verdicts, so the largest use is taken for all of them.
+    A document is used round(taken / size) times; one without words once. Rows are matched to the plan by a hash of id,
+    source and text; rows that agree in all three are used as often together as the plan says of them together, and what
+    other columns of theirs hold is taken from one of them.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    uses = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = plan.groupBy(F.col(id_col).alias("__id")).agg(F.max(uses).alias("__uses")).filter("__uses > 0")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).drop("__id")
-    return joined.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).drop("__use", "__uses")
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    key = row_key(F.col(id_col), F.concat(F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    plan = _plan(docs, id_col, text_col, source_col, **options, key_of_row=key)
+    uses = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("long")
+    plan = cut(plan.groupBy(F.col("__id").alias(name)).agg(F.sum(uses).alias("__uses"), F.count(F.lit(1)).alias("__n")).filter("__uses > 0"))
+    keyed = docs.withColumn(name, key)
+    out = keyed.join(plan.filter("__n = 1").select(name, "__uses"), name)
+    again = plan.filter("__n > 1").select(name, "__uses")
+    if not again.isEmpty():
+        once = keyed.join(again.select(name), name, "left_semi").dropDuplicates([name])
+        out = out.unionByName(once.join(again, name))
+    return out.withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS u FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), w AS (

@@ -71,7 +71,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_sharding": sharding.oracle(SHARDS),
     "op3_curriculum_mix": curriculum.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_bayes_dedup": bayes_dedup.ORACLE,
     "op8_perspectives": chat_views.ORACLE,
+    "op9_licence_scan": licences.oracle(),
 }

@@ -8,11 +8,15 @@
    parent's best-filled bins, bins that would repeat a piece are dissolved, and displaced pieces are put back best fit
    first. After each epoch every island's elite moves to the next island of the ring (an exchange on (block, island)).
 4. The best solution's bins that are nearly full stay; pieces of the others of all blocks meet again in new, fewer
-   blocks, until one block is left or a pass no longer helps; so loose ends do not add up with the number of blocks.
+   blocks, until one block is left or a pass leaves over nine tenths of its pieces (such as those of which no two fit
+   together); so loose ends do not add up with the number of blocks. Each pass has at most nine tenths of the one before.
+
+Equal pieces (id, piece, length, sum) are counted before they are numbered, and blocks and their order come from hashes of a
+piece and its number, so that the packing does not depend on how the rows were partitioned.
 
 Edge cases: a null or empty text is one piece of length 1 (id 0); a null id is an id; repeated rows are packed as often
 as they come; an empty table gives an empty result; other columns are not looked at. Results repeat from run to
-run but for the numbers of sequences of full pieces.
+run, whatever the partitions, but for the numbers of sequences of full pieces.
 """
 
 from __future__ import annotations
@@ -37,7 +41,10 @@ CAPACITY = 2048
 BLOCK, ISLANDS, POPULATION, EPOCHS, CROSSOVERS = 2048, 2, 4, 2, 4
 #: A bin filled to this share stays; the pieces of the others are packed again with other blocks'.
 FULL = 0.995
-ROUNDS = 3
+#: A pass that leaves more than this share of its pieces in loose bins is the last.
+HELPS = 0.9
+#: Equal pieces are numbered in runs of so many.
+RUN = 1 << 16
 #: Words whose ids a task remembers at most.
 REMEMBERED = 400_000
 
@@ -279,9 +286,9 @@ EPOCH = "block long, island int, uids array<long>, sizes array<int>, members arr
 
 
 def solve(items: DataFrame, blocks: int, capacity: int = CAPACITY, islands: int = ISLANDS, population: int = POPULATION, epochs: int = EPOCHS, crossovers: int = CROSSOVERS) -> DataFrame:
-    """``items`` (uid, length) with block and bin: the best solution that any island found for each block."""
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    grouped = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))  # about BLOCK items
+    """``items`` (uid, tag, length) with block and bin, and a new tag: the best solution that any island found for each block."""
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("tag", F.lit(blocks)), F.lit(blocks)))
+    grouped = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("tag", "length", "uid"))).alias("x"))  # about BLOCK items
     state = grouped.select(
         "block",
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
@@ -298,8 +305,8 @@ def solve(items: DataFrame, blocks: int, capacity: int = CAPACITY, islands: int
     best = evolved.groupBy("block").agg(F.min(F.struct("bins", (-F.col("evenness")).alias("e"), "island")).alias("b"))
     best = best.select("block", F.col("b.island").alias("island"))
     chosen = evolved.join(best, ["block", "island"])
-    placed = chosen.select("block", F.explode(F.arrays_zip("uids", "sizes", F.element_at("members", 1).alias("bin"))).alias("z"))
-    return placed.select("block", F.col("z.uids").alias("uid"), F.col("z.sizes").alias("length"), F.col("z.bin").alias("bin"))
+    placed = chosen.select("block", F.posexplode(F.arrays_zip("uids", "sizes", F.element_at("members", 1).alias("bin"))).alias("at", "z"))
+    return placed.select("block", F.col("z.uids").alias("uid"), F.xxhash64("block", "at").alias("tag"), F.col("z.sizes").alias("length"), F.col("z.bin").alias("bin"))
 
 
 def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, capacity: int) -> DataFrame:
@@ -307,31 +314,40 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     return rows.mapInPandas(piece_rows(tokenizer or default_tokenizer(), capacity), PIECES)
 
 
+def numbered_pieces(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with uid, a handle of each row, and tag, a hash that depends on the piece and on its number among equal ones."""
+    columns = pieces.columns
+    counted = cut(pieces.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")))
+    most = counted.agg(F.max("__n")).first()[0] or 0
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / RUN))))
+    if most > RUN:
+        runs = runs.repartition("__run", *columns)
+    last = F.least(F.col("__n"), (F.col("__run") + 1) * RUN) - 1
+    each = runs.withColumn("__at", F.explode(F.sequence(F.col("__run") * RUN, last)))
+    return each.select(*columns, F.xxhash64(*columns, "__at").alias("tag"), F.monotonically_increasing_id().alias("uid"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = tokenised_pieces(docs, id_col, text_col, tokenizer, capacity)
-    pieces = cut(pieces.withColumn("uid", F.monotonically_increasing_id()))
-    rest = pieces.filter(F.col("length") < capacity).select("uid", "length")
-    done, before = None, None
-    for n in range(ROUNDS):
-        count = rest.count()
+    pieces = cut(numbered_pieces(tokenised_pieces(docs, id_col, text_col, tokenizer, capacity)))
+    rest = pieces.filter(F.col("length") < capacity).select("uid", "tag", "length")
+    count, done, base = rest.count(), None, 0
+    while count:
         blocks = max(1, -(-count // block))
-        if count == 0:
-            break
         placed = cut(solve(rest, blocks, capacity))
-        last = blocks == 1 or n + 1 == ROUNDS or (before is not None and count > 0.9 * before)
-        fill = placed.groupBy("block", "bin").agg(F.sum("length").alias("fill"), F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))
+        fill = placed.groupBy("block", "bin").agg(F.sum("length").alias("fill"), F.sort_array(F.collect_list(F.struct("tag", "length", "uid"))).alias("x"))
+        loose = cut(fill.filter(F.col("fill") < FULL * capacity).select(F.explode("x").alias("p")).select("p.uid", "p.tag", "p.length"))
+        left = 0 if blocks == 1 else loose.count()
+        last = blocks == 1 or left > HELPS * count
         stays = fill if last else fill.filter(F.col("fill") >= FULL * capacity)
         offsets = F.transform("x", lambda p, i: F.struct(p.uid.alias("uid"), F.aggregate(F.slice("x", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y.length).alias("offset")))
-        # The number of a sequence: the round, the block and the bin (a block has far fewer than 2**20 bins).
-        number = F.lit(n).cast("long") * F.lit(1 << 60) + F.col("block") * F.lit(1 << 20) + F.col("bin")
+        # The number of a sequence: blocks of earlier passes and this one's, and the bin (a block has far fewer than 2**20 bins).
+        number = (F.lit(base).cast("long") + F.col("block")) * F.lit(1 << 20) + F.col("bin")
         kept = stays.select(number.alias("sequence_id"), F.explode(offsets).alias("o")).select("sequence_id", F.col("o.uid").alias("uid"), F.col("o.offset").alias("offset"))
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        left = fill.filter(F.col("fill") < FULL * capacity)
-        rest = cut(left.select(F.explode("x").alias("p")).select("p.uid", "p.length"))
-        before = count
+        rest, count, base = loose, left, base + blocks
     full = pieces.filter(F.col("length") >= capacity)
     out = full.withColumn("sequence_id", -F.col("uid") - 1).withColumn("offset", F.lit(0).cast("long"))
     if done is not None:

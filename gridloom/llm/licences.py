@@ -154,22 +154,20 @@ class Index:
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+#: Bytes to lower case, and to a space where no word can hold them.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if _WORD[b] else 32 for b in range(256))
+
+
 def _frequency(vocabulary: list[str]):
-    wanted = [w.encode() for w in vocabulary]
+    wanted = {w.encode() for w in vocabulary}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, found = 0, Counter()
         for batch in batches:
             for text in batch["text"]:
                 n += 1
-                file = None
-                raw = (text or "").encode("utf-8", "surrogatepass").lower()
-                for w in wanted:
-                    if w in raw:
-                        file = file or Words(text)
-                        if file.positions(w):
-                            found[w.decode()] += 1
-        yield pd.DataFrame({"word": ["", *found], "n": [n, *found.values()]})
+                found.update(wanted.intersection((text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()))
+        yield pd.DataFrame({"word": ["", *(w.decode() for w in found)], "n": [n, *found.values()]})
 
     return run
 
@@ -213,5 +211,33 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_max(firsts).alias("last_word"),
         joined(base).alias("base_labels"),
         joined(F.col("hits")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("hits", lambda h: h.score)), F.lit(0.0)).alias("score"),
+        F.round(F.coalesce(F.array_max(F.transform("hits", lambda h: h.score)), F.lit(0.0)), 9).alias("score"),
     )
+
+
+def oracle(templates: tuple[Template, ...] = BASE + MORE) -> str:
+    """The digest of a scan in SQL: words that agree at one relative position, all of a template's key phrases among them."""
+    rows = [f"({k}, {o}, '{w}', {str(any(a <= o < b for a, b in t.keys)).lower()})" for k, t in enumerate(templates) for o, w in enumerate(t.words)]
+    labels = [f"({k}, '{t.label}', {str(k < len(BASE)).lower()}, {sum(b - a for a, b in t.keys)}, {len(t.words)})" for k, t in enumerate(templates)]
+    return rf"""
+WITH t(k, o, word, mandatory) AS (VALUES {", ".join(rows)}), m(k, label, base, keys, n) AS (VALUES {", ".join(labels)}),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+), f AS (
+  SELECT word, count(DISTINCT doc_id) AS df FROM p WHERE word IN (SELECT word FROM t) GROUP BY word
+), x AS (
+  SELECT t.*, ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1e-6 AS idf FROM t LEFT JOIN f USING (word)
+), total AS (
+  SELECT k, sum(idf) AS total FROM x GROUP BY k
+), h AS (
+  SELECT doc_id, k, i - o AS start, min(i) AS first, count(*) AS n, count(*) FILTER (mandatory) AS keys, sum(idf) AS idf FROM p JOIN x USING (word) GROUP BY ALL
+), hit AS (
+  SELECT h.doc_id, m.label, m.base, h.first, CASE WHEN h.n = m.n THEN 1.0 ELSE h.idf / total END AS score
+  FROM h JOIN m USING (k) JOIN total USING (k) WHERE h.keys = m.keys AND (h.n = m.n OR h.idf / total >= {MATCH})
+)
+SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(*) FILTER (base)::BIGINT AS n_base, min(first) FILTER (base)::BIGINT AS first_word, max(first) FILTER (base)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, round(coalesce(max(score), 0), 9)::DOUBLE AS score
+FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id
+"""

@@ -3,13 +3,15 @@
 1. Heuristic labellers vote good, bad or abstain on every document (DataFrame expressions over the whole text).
 2. Documents are counted by their pattern of votes: at most 3**labellers rows, whatever the data. On these counts of
    all documents expectation-maximisation estimates each labeller's accuracy and coverage and the share of good ones.
-3. The posteriors of a bounded sample (``FIT_ROWS`` documents, the smallest by hash of the id) are the soft labels of a
-   logistic regression on hashed features: byte pairs of the text and bands of its repetition and layout.
+3. The posteriors of a bounded sample are the soft labels of a logistic regression on hashed features: byte pairs of the text
+   and bands of its repetition and layout. The sample has at most ``FIT_ROWS`` / 2 documents that are more likely good and as
+   many that are more likely bad (the smallest by hash of id and text), weighed by how many there are of either in all, so
+   that junk is in it however rare it is.
 4. The scorer rates every document; it stays if its score reaches ``threshold``.
 
-Edge cases: a null, empty or blank text scores 0 and is rejected; a null id and repeated rows are scored as they come;
-an empty table gives an empty result; where the votes never differ the score is the estimated share of good
-documents; other columns are not looked at.
+Edge cases: a null or empty text and one of blanks alone (space and \\t to \\r) scores 0 and is rejected; a null id and repeated
+rows are scored as they come, and equal texts get equal scores; an empty table gives an empty result; where no text is more
+likely bad, or none more likely good, the score is the estimated share of good documents; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 
 FIT_ROWS = 4000
 BUCKETS = 4096
@@ -119,15 +121,16 @@ def features(text: str) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
     """Weights of a logistic regression on soft labels, the last one the intercept (Nesterov's gradient steps)."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     y = y.astype(np.float32)
+    weight = np.ones(len(x), dtype=np.float32) if weight is None else (weight / weight.mean()).astype(np.float32)
     w = v = np.zeros(x.shape[1], dtype=np.float32)
-    rate = 4.0 / max(1e-9, float((x * x).sum(1).mean()))
+    rate = 4.0 / max(1e-9, float((weight * (x * x).sum(1)).mean()))
     for n in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        g = (p - y) @ x / np.float32(len(x))
+        g = ((p - y) * weight) @ x / np.float32(len(x))
         g[:-1] += ridge * v[:-1] / 10
         new = v - np.float32(rate) * g
         v = (new + np.float32(n / (n + 3)) * (new - w)).astype(np.float32)
@@ -145,7 +148,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _score(weights: np.ndarray, fallback: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            z = [float(features(t) @ weights[:-1] + weights[-1]) if t and not t.isspace() else None for t in batch["text"]]
+            z = [float(features(t) @ weights[:-1] + weights[-1]) if t and t.strip(" \t\n\v\f\r") else None for t in batch["text"]]
             score = [0.0 if v is None else 1 / (1 + np.exp(-np.clip(v, -500, 500))) for v in z]
             if not np.any(weights):
                 score = [0.0 if v is None else fallback for v in z]
@@ -158,9 +161,9 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each document: ``id_col``, score (0 to 1), keep. ``fit_rows`` bounds the documents that the scorer
     is fitted on; the labellers' accuracies come from all."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    unit = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit"))
+    unit = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text"), F.lit("fit"))
     names = list(labellers())
-    measured = rows.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    measured = rows.filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     measured = measured.select(unit.alias("__u"), *[m.alias(n) for n, m in measures(F.col("text")).items()])
     voted = cut(measured.select("__u", *[v.alias(n) for n, v in labellers().items()]))
     patterns = [(tuple(r[:-1]), float(r[-1])) for r in voted.groupBy(*names).count().collect()]  # <= 3**labellers
@@ -168,27 +171,34 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
     share, sure_good, sure_bad = estimate(patterns)
     grid = np.array([[np.nan if v is None else v for v in p] for p, _ in patterns], dtype=float)
-    post = posterior(grid, share, sure_good, sure_bad)
-    sample = voted.orderBy("__u").limit(fit_rows)  # top rows of each task, then of all: bounded
+    post, count = posterior(grid, share, sure_good, sure_bad), np.array([c for _, c in patterns])
     table = docs.sparkSession.createDataFrame([(*p, float(v)) for (p, _), v in zip(patterns, post)], ", ".join(f"{n} int" for n in names) + ", post double")
-    same = [sample[n].eqNullSafe(table[n]) for n in names]
-    chosen = cut(sample.join(F.broadcast(table), same).select("__u", "post").dropDuplicates(["__u"]))
-    keyed = rows.withColumn("__u", unit)
-    picked = keyed.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "__u").select("__u", "text", "post")
+    rated = voted.join(F.broadcast(table), [voted[n].eqNullSafe(table[n]) for n in names]).select("__u", "post")
+    half = -(-fit_rows // 2)
+    first = lambda df: df.orderBy("__u").limit(half)  # noqa: E731  top rows of each task, then of all: bounded
+    chosen = cut(first(rated.filter("post >= 0.5")).unionByName(first(rated.filter("post < 0.5"))).dropDuplicates(["__u"]))
+    picked = rows.withColumn("__u", unit).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "__u").select("__u", "text", "post")
     made = picked.select("__u", "post", "text").mapInPandas(_featurise, "u long, post double, at array<int>, value array<float>")
-    learn = made.orderBy("u").limit(2 * fit_rows).collect()  # bounded also where ids are repeated
+    learn = made.orderBy("u").limit(2 * fit_rows).collect()  # bounded also where rows are repeated
     x = np.zeros((len(learn), BUCKETS), dtype=np.float32)
     for k, r in enumerate(learn):
         x[k, r["at"]] = r["value"]
     y = np.array([r["post"] for r in learn])
-    weights = fit(x, y) if len(learn) and y.max() - y.min() > 0.5 else np.zeros(BUCKETS + 1)
+    weights, good = np.zeros(BUCKETS + 1), y >= 0.5
+    if good.any() and not good.all():
+        weights = fit(x, y, np.where(good, count[post >= 0.5].sum() / good.sum(), count[post < 0.5].sum() / (~good).sum()))
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInPandas(_score(weights, share), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, all columns; matched by id, so a repeated id stays if any of its rows does."""
-    verdict = weak_label_quality(docs, id_col, text_col, **options)
-    good = verdict.filter("keep").select(F.col(id_col).alias("__good")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["__good"]), "left_semi")
+    """The documents that stay, all columns. A row is matched to its verdict by a hash of id and text, so it neither keeps nor
+    takes along another text of its id."""
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, row_key(F.col(id_col), F.col(text_col).cast("string")))
+    verdict = weak_label_quality(keyed, name, text_col, **options)
+    good = verdict.filter("keep").select(name).distinct()
+    return keyed.join(good, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

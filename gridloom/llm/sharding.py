@@ -4,7 +4,7 @@ Every shard has its own preference order of the table's slots (offset and skip f
 shards take turns; at its turn a shard claims its first slot that is still free. The table (at most ``MAX_SLOTS``
 rows, whatever the data) is broadcast, and a row finds its shard by hash(key) mod size, without a shuffle.
 
-Edge cases: null keys go together to the slot of the hash's seed; equal keys share a shard; a weight of 0 claims no
+Edge cases: null keys go together to one slot; equal keys share a shard; a weight of 0 claims no
 slot; an empty table gives an empty result; an input column named like an output column is replaced.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SLOTS = 655_373
@@ -50,10 +50,25 @@ def fill_table(shards: list[str], size: int = 65_537, weights: dict[str, int] |
     return slots
 
 
+def slot_of(keys: list[str], size: int) -> Column:
+    """The slot of a row: 60 bits of the MD5 of its keys' texts (null apart from all texts), modulo the table's size."""
+    named = F.concat_ws("|", *[F.when(F.col(k).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(k).cast("string"))) for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long"), F.lit(size))
+
+
 def assign_shards(df: DataFrame, keys: list[str], shards: list[str], size: int = 65_537, weights: dict[str, int] | None = None) -> DataFrame:
     """``df`` with ``slot`` (long) and ``shard`` (string)."""
     spark = df.sparkSession
     slots = fill_table(shards, size, weights)
     lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(slots)], "slot long, shard string")
-    placed = df.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(size)))
+    placed = df.withColumn("__slot", slot_of(keys, size)).drop("slot", "shard").withColumnRenamed("__slot", "slot")
     return placed.join(F.broadcast(lookup), "slot", "left").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+
+
+def oracle(shards: list[str], size: int = 65_537) -> str:
+    """Placement of documents in SQL; the table, which the tests fill by brute force, is given in it."""
+    return f"""
+WITH t AS (SELECT unnest(range({size})) AS slot, unnest({fill_table(shards, size)}) AS k), s AS (SELECT unnest(range({len(shards)})) AS k, unnest({shards}) AS shard),
+d AS (SELECT doc_id, ('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN '-' ELSE '=' || doc_id END), 1, 15))::BIGINT % {size} AS slot FROM documents)
+SELECT doc_id, slot, shard FROM d JOIN t USING (slot) JOIN s USING (k)
+"""

@@ -4,8 +4,13 @@ Categories are predicted in order; the model of each sees hashed words of the te
 categories before it. While fitting, those probabilities are out of fold: a document's come from models that
 did not see it, so later models learn how far earlier ones can be trusted.
 
-Only a bounded sample of labelled documents (``FIT_ROWS``, smallest by hash of the id) is used for fitting; features are
-made on the executors from whole texts, and what reaches the driver is that sample's word hashes.
+Only a bounded sample of labelled documents is used for fitting: of the toxic and of the other ones the ``FIT_ROWS`` / 2
+that come first by hash of the id, so that words of rare languages are met in as many toxic documents as the bound allows.
+Features are made on the executors from whole texts, and what reaches the driver is that sample's word hashes.
+
+Columns are scaled by their standard deviation before the penalty chooses words, so a word of a rare language has the same
+chance as a common one, and both classes weigh the same. The penalty is a multiple of what chance alone reaches,
+sqrt(2 ln(words) / examples) standard errors; the multiple is chosen on held-out examples.
 
 Edge cases: a null or empty text has no words and gets the models' base rates; null labels are left out of fitting;
 several labels of a document are examples each; a category without both kinds of examples has a constant
@@ -15,6 +20,7 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-FIT_ROWS = 8000
+FIT_ROWS = 16_000
 BUCKETS = 1 << 20
 #: Hashed words that a model weighs, chosen by log-odds on the sample.
 SELECTED = 512
 FOLDS = 4
+#: Multiples of the penalty that chance alone reaches, among which held-out examples choose.
+PENALTIES = (0.25, 0.5, 1.0)
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,6 +75,7 @@ class Link:
     weights: dict[int, float]
     earlier: np.ndarray
     bias: float
+    multiple: float | None = None
 
     def logit(self, buckets: set[int], before: list[float]) -> float:
         held = self.weights.keys() & buckets
@@ -88,20 +97,42 @@ def select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return seen[np.argsort(-z, kind="stable")[:SELECTED]]
 
 
-def _sparse_fit(x: np.ndarray, y: np.ndarray, lasso: float, steps: int) -> np.ndarray:
-    """Logistic regression with an L1 penalty on all but the last column, by accelerated proximal steps."""
-    rate = np.float32(4.0 / max(1e-9, float(np.linalg.norm(x.T @ x, 2)) / len(x)))
+def _sparse_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lasso: float, steps: int) -> np.ndarray:
+    """Weighted logistic regression with an L1 penalty on all but the last column, by accelerated proximal steps."""
+    rate = np.float32(4.0 / max(1e-9, float(np.linalg.norm((x * weight[:, None]).T @ x, 2)) / len(x)))
     w = v = np.zeros(x.shape[1], dtype=np.float32)
     for n in range(steps):
-        new = v - rate * ((_sigmoid(x @ v) - y) @ x / np.float32(len(x)))
+        new = v - rate * (((_sigmoid(x @ v) - y) * weight) @ x / np.float32(len(x)))
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * np.float32(lasso), 0)
         v, w = (new + np.float32(n / (n + 3)) * (new - w)).astype(np.float32), new
     return w
 
 
-def fit_link(docs: list[np.ndarray], y: np.ndarray, before: np.ndarray, lasso: float = 6e-3, steps: int = 200) -> Link:
-    """A first fit under a strong penalty picks few words: those that many documents of the category share, not those
-    that copies of one happen to hold. A second, nearly free of penalty, gives them their weights."""
+def _two_fits(x: np.ndarray, y: np.ndarray, multiple: float, steps: int) -> np.ndarray:
+    """A first fit under a strong penalty on scaled columns picks words; a second, nearly free of penalty, gives them weights."""
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+    scaled = x.copy()
+    scaled[:, :-1] /= x[:, :-1].std(0) + np.float32(1e-6)
+    lasso = multiple * math.sqrt(0.25 * 2 * math.log(x.shape[1] + 1) / len(x))
+    used = np.flatnonzero(_sparse_fit(scaled, y, weight, lasso, steps))
+    used = np.append(used[used < x.shape[1] - 1], x.shape[1] - 1)
+    w = np.zeros(x.shape[1], dtype=np.float32)
+    w[used] = _sparse_fit(np.ascontiguousarray(x[:, used]), y, weight, 1e-4, 3 * steps)
+    return w
+
+
+def _held_out_loss(x: np.ndarray, y: np.ndarray, multiple: float, steps: int) -> float:
+    """Mean log loss of both classes on every fourth example, of a fit on the others."""
+    held = np.arange(len(y)) % FOLDS == 0
+    if any(len(np.unique(part)) < 2 for part in (y[held], y[~held])):
+        return 0.0
+    z = x[held] @ _two_fits(x[~held], y[~held], multiple, steps)
+    loss = np.logaddexp(0, np.where(y[held] > 0, -z, z))
+    return float(loss[y[held] > 0].mean() + loss[y[held] <= 0].mean())
+
+
+def fit_link(docs: list[np.ndarray], y: np.ndarray, before: np.ndarray, multiple: float | None = None, steps: int = 200) -> Link:
+    """One category's model. Without ``multiple`` held-out examples choose it; the link remembers which."""
     y = y.astype(np.float32)
     k = before.shape[1]
     if not y.any() or y.all():
@@ -115,23 +146,25 @@ def fit_link(docs: list[np.ndarray], y: np.ndarray, before: np.ndarray, lasso: f
         x[r, at[at >= 0]] = 1.0
     x[:, len(chosen) : -1] = before / 4
     x[:, -1] = 1.0
-    used = np.flatnonzero(_sparse_fit(x, y, lasso, steps))
-    used = np.append(used[used < x.shape[1] - 1], x.shape[1] - 1)
-    w = np.zeros(x.shape[1], dtype=np.float32)
-    w[used] = _sparse_fit(np.ascontiguousarray(x[:, used]), y, 1e-4, 3 * steps)
+    if multiple is None:
+        multiple = min(PENALTIES, key=lambda m: _held_out_loss(x, y, m, steps))
+    w = _two_fits(x, y, multiple, steps)
     keep = {int(b): float(t) for b, t in zip(chosen, w) if t}
-    return Link(keep, w[len(chosen) : -1].astype(float) / 4, float(w[-1]))
+    return Link(keep, w[len(chosen) : -1].astype(float) / 4, float(w[-1]), multiple)
 
 
-def without_copies(docs: list[np.ndarray], labels: np.ndarray) -> list[int]:
-    """Numbers of the examples that stay, one of those with the same labels and the same two least words by two
-    orders. Near copies would put one document's words in several folds, and count them as many documents'."""
-    seen, out = set(), []
+def without_copies(docs: list[np.ndarray], labels: np.ndarray, alike: float = 0.7) -> list[int]:
+    """Numbers of the examples that stay. One goes if an earlier one has the same labels, the same two least words by two
+    orders and at least ``alike`` of all words in common: near copies would put one document's words in several folds, and
+    count them as many documents'."""
+    seen: dict[tuple, list[int]] = {}
+    out = []
     for i, d in enumerate(docs):
         mixed = d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), (d.astype(np.uint64) + np.uint64(77)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key = (*(int(m.min()) if len(m) else -1 for m in mixed), labels[i].tobytes())
-        if key not in seen:
-            seen.add(key)
+        near = seen.setdefault((*(int(m.min()) if len(m) else -1 for m in mixed), labels[i].tobytes()), [])
+        shared = (len(np.intersect1d(d, docs[j], assume_unique=True)) for j in near)
+        if not any(both >= alike * (len(d) + len(docs[j]) - both) for j, both in zip(near, shared)):
+            near.append(i)
             out.append(i)
     return out
 
@@ -147,11 +180,12 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) ->
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(bool)
         chain.append(fit_link(docs, y, before))
+        multiple = chain[-1].multiple or PENALTIES[0]
         if c + 1 < labels.shape[1]:
             held = np.zeros(len(docs))
             for f in range(folds):
                 learn = np.flatnonzero(fold != f)
-                link = fit_link([docs[i] for i in learn], y[learn], before[learn])
+                link = fit_link([docs[i] for i in learn], y[learn], before[learn], multiple)
                 for i in np.flatnonzero(fold == f):
                     held[i] = np.clip(link.logit(sets[i], list(before[i])), -8, 8)
             before = np.hstack([before, held[:, None]])
@@ -167,7 +201,7 @@ def predict(chain: list[Link], buckets: set[int]) -> list[float]:
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"u": batch["__u"], "y": batch["y"], "at": [np.fromiter(sorted(word_buckets(t)), dtype=np.int32) for t in batch["text"]]})
+        yield pd.DataFrame({"u": batch["__u"], "y": batch["y"], "at": [np.fromiter(sorted(word_buckets(t)), dtype=np.int32).tobytes() for t in batch["text"]]})
 
 
 def _scores(chain: list[Link], names: list[str]):
@@ -183,15 +217,17 @@ def learn_chain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull())
     y = F.array(*[c.cast("int") for c in chain.values()])
     known = known.select(F.col(id_col).alias("__id"), y.alias("y"), F.xxhash64(id_col, F.lit("fit")).alias("__u"))
-    sample = cut(known.orderBy("__u", "__id").limit(fit_rows))  # top rows of each task, then of all: bounded
+    half = -(-fit_rows // 2)
+    first = lambda df: df.orderBy("__u", "__id").limit(half)  # noqa: E731  top rows of each task, then of all: bounded
+    sample = cut(first(known.filter(F.col("y")[0] == 1)).unionByName(first(known.filter(F.col("y")[0] == 0))))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "__id").select("__u", "y", "text")
-    made = joined.mapInPandas(_examples, "u long, y array<int>, at array<int>")
+    made = joined.mapInPandas(_examples, "u long, y array<int>, at binary")
     rows = made.orderBy("u").limit(2 * fit_rows).collect()  # bounded also where ids are repeated
     if not rows:
         return None
-    at = [np.asarray(r["at"], dtype=np.int64) for r in rows]
-    order = sorted(range(len(rows)), key=lambda i: (len(at[i]), at[i].tobytes(), rows[i]["y"]))  # whatever order they came in
+    at = [np.frombuffer(r["at"], dtype=np.int32).astype(np.int64) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (len(at[i]), bytes(rows[i]["at"]), rows[i]["y"]))  # whatever order they came in
     return fit_chain([at[i] for i in order], np.array([rows[i]["y"] for i in order]))
 
 
