@@ -97,60 +97,98 @@ def select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return seen[np.argsort(-z, kind="stable")[:SELECTED]]
 
 
-def _sparse_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lasso: float, steps: int) -> np.ndarray:
-    """Weighted logistic regression with an L1 penalty on all but the last column, by accelerated proximal steps."""
-    rate = np.float32(4.0 / max(1e-9, float(np.linalg.norm((x * weight[:, None]).T @ x, 2)) / len(x)))
-    w = v = np.zeros(x.shape[1], dtype=np.float32)
+@dataclass
+class Examples:
+    """Which of the chosen words each example holds, as pairs (row, column), and a few dense columns, the last of ones."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    words: int
+    dense: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[: self.words][self.columns], len(self)) + self.dense @ w[self.words :]
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.columns, g[self.rows], self.words), g @ self.dense])
+
+    def of(self, chosen: np.ndarray) -> Examples:
+        place = np.cumsum(chosen) - 1
+        held = chosen[self.rows]
+        return Examples(place[self.rows[held]], self.columns[held], self.words, self.dense[chosen])
+
+    def only(self, columns: np.ndarray) -> Examples:
+        """The words at ``columns``, and all dense columns."""
+        place = np.full(self.words, -1)
+        place[columns] = np.arange(len(columns))
+        held = place[self.columns] >= 0
+        return Examples(self.rows[held], place[self.columns[held]], len(columns), self.dense)
+
+    def deviation(self) -> np.ndarray:
+        share = np.bincount(self.columns, minlength=self.words) / len(self)
+        return np.concatenate([np.sqrt(share * (1 - share)), self.dense[:, :-1].std(0), [1.0]]) + 1e-6
+
+
+def _sparse_fit(x: Examples, y: np.ndarray, weight: np.ndarray, scale: np.ndarray, lasso: float, steps: int) -> np.ndarray:
+    """Weighted logistic regression on columns divided by ``scale``, with an L1 penalty on all but the last, by accelerated
+    proximal steps. The weights are those of the columns as they are."""
+    v = np.ones(len(scale))
+    for _ in range(30):  # the largest curvature, by power iteration
+        v = x.back(weight * x.dot(v / scale)) / scale / len(x)
+        norm = float(np.linalg.norm(v))
+        v /= max(norm, 1e-12)
+    rate = 4.0 / max(1e-9, 1.05 * norm)
+    w = v = np.zeros(len(scale))
     for n in range(steps):
-        new = v - rate * (((_sigmoid(x @ v) - y) * weight) @ x / np.float32(len(x)))
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * np.float32(lasso), 0)
-        v, w = (new + np.float32(n / (n + 3)) * (new - w)).astype(np.float32), new
-    return w
+        new = v - rate * x.back((_sigmoid(x.dot(v / scale)) - y) * weight) / scale / len(x)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * lasso, 0)
+        v, w = new + n / (n + 3) * (new - w), new
+    return w / scale
 
 
-def _two_fits(x: np.ndarray, y: np.ndarray, multiple: float, steps: int) -> np.ndarray:
+def _two_fits(x: Examples, y: np.ndarray, multiple: float, steps: int) -> np.ndarray:
     """A first fit under a strong penalty on scaled columns picks words; a second, nearly free of penalty, gives them weights."""
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    scaled = x.copy()
-    scaled[:, :-1] /= x[:, :-1].std(0) + np.float32(1e-6)
-    lasso = multiple * math.sqrt(0.25 * 2 * math.log(x.shape[1] + 1) / len(x))
-    used = np.flatnonzero(_sparse_fit(scaled, y, weight, lasso, steps))
-    used = np.append(used[used < x.shape[1] - 1], x.shape[1] - 1)
-    w = np.zeros(x.shape[1], dtype=np.float32)
-    w[used] = _sparse_fit(np.ascontiguousarray(x[:, used]), y, weight, 1e-4, 3 * steps)
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    scale = x.deviation()
+    lasso = multiple * math.sqrt(0.25 * 2 * math.log(len(scale) + 1) / len(x))
+    used = np.flatnonzero(_sparse_fit(x, y, weight, scale, lasso, steps)[: x.words])
+    few = x.only(used)
+    own = _sparse_fit(few, y, weight, np.ones(len(used) + x.dense.shape[1]), 1e-4, 3 * steps)
+    w = np.zeros(len(scale))
+    w[used], w[x.words :] = own[: len(used)], own[len(used) :]
     return w
 
 
-def _held_out_loss(x: np.ndarray, y: np.ndarray, multiple: float, steps: int) -> float:
+def _held_out_loss(x: Examples, y: np.ndarray, multiple: float, steps: int) -> float:
     """Mean log loss of both classes on every fourth example, of a fit on the others."""
     held = np.arange(len(y)) % FOLDS == 0
     if any(len(np.unique(part)) < 2 for part in (y[held], y[~held])):
         return 0.0
-    z = x[held] @ _two_fits(x[~held], y[~held], multiple, steps)
+    z = x.of(held).dot(_two_fits(x.of(~held), y[~held], multiple, steps))
     loss = np.logaddexp(0, np.where(y[held] > 0, -z, z))
     return float(loss[y[held] > 0].mean() + loss[y[held] <= 0].mean())
 
 
 def fit_link(docs: list[np.ndarray], y: np.ndarray, before: np.ndarray, multiple: float | None = None, steps: int = 200) -> Link:
     """One category's model. Without ``multiple`` held-out examples choose it; the link remembers which."""
-    y = y.astype(np.float32)
+    y = y.astype(float)
     k = before.shape[1]
     if not y.any() or y.all():
         return Link({}, np.zeros(k), -12.0 if not y.any() else 12.0)
     chosen = select(docs, y > 0)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(docs), len(chosen) + k + 1), dtype=np.float32)
-    for r, d in enumerate(docs):
-        at = place[d]
-        x[r, at[at >= 0]] = 1.0
-    x[:, len(chosen) : -1] = before / 4
-    x[:, -1] = 1.0
+    found = [(at := place[d])[at >= 0] for d in docs]
+    rows = np.repeat(np.arange(len(docs)), [len(f) for f in found])
+    x = Examples(rows, np.concatenate(found), len(chosen), np.hstack([before / 4, np.ones((len(docs), 1))]))
     if multiple is None:
         multiple = min(PENALTIES, key=lambda m: _held_out_loss(x, y, m, steps))
     w = _two_fits(x, y, multiple, steps)
     keep = {int(b): float(t) for b, t in zip(chosen, w) if t}
-    return Link(keep, w[len(chosen) : -1].astype(float) / 4, float(w[-1]), multiple)
+    return Link(keep, w[len(chosen) : -1] / 4, float(w[-1]), multiple)
 
 
 def without_copies(docs: list[np.ndarray], labels: np.ndarray, alike: float = 0.7) -> list[int]:
@@ -173,7 +211,6 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) ->
     """``labels``: a column for each category. Earlier log-odds are out of fold."""
     stay = without_copies(docs, labels)
     docs, labels = [docs[i] for i in stay], labels[stay]
-    sets = [set(d.tolist()) for d in docs]
     fold = np.arange(len(docs)) % folds
     before = np.zeros((len(docs), 0))
     chain = []
@@ -186,8 +223,10 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) ->
             for f in range(folds):
                 learn = np.flatnonzero(fold != f)
                 link = fit_link([docs[i] for i in learn], y[learn], before[learn], multiple)
+                weights = np.zeros(BUCKETS)
+                weights[list(link.weights)] = list(link.weights.values())
                 for i in np.flatnonzero(fold == f):
-                    held[i] = np.clip(link.logit(sets[i], list(before[i])), -8, 8)
+                    held[i] = np.clip(link.bias + weights[docs[i]].sum() + before[i] @ link.earlier, -8, 8)
             before = np.hstack([before, held[:, None]])
     return chain
 
