@@ -81,6 +81,49 @@ def failure_sections(runs: DataFrame, top: int = 20) -> DataFrame:
     return scoreboard.triage(runs.filter("code IS NOT NULL").select("path", "private", F.col("code").alias("category"), F.lit(1).alias("n")), top)
 
 
+def observed(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """(workbook, ok, code, msg) of each of ``files``: what its document says; a file without a document is an internal error."""
+    own = documents.select("workbook", "ok", "code", "msg", F.lit(True).alias("__seen"))
+    missing = F.col("__seen").isNull()
+    return files.select("workbook").join(own, "workbook", "left").select(
+        "workbook", F.coalesce("ok", F.lit(False)).alias("ok"), F.when(missing, F.lit("internal_error")).otherwise(F.col("code")).alias("code"),
+        F.when(missing, F.lit("there is no document")).otherwise(F.col("msg")).alias("msg"),
+    )
+
+
+def runnable(entries: DataFrame, present: DataFrame) -> DataFrame:
+    """Manifest entries that can be read: all public ones, and private ones whose ``path`` is ``present``."""
+    here = present.select("path").distinct().withColumn("__here", F.lit(True))
+    return entries.join(here, "path", "left").filter(~F.col("private") | F.col("__here")).drop("__here")
+
+
+def file_defects(results: DataFrame, defects: str) -> DataFrame:
+    """(file, defect) of public files, one row for each of the array ``defects``, and a row without a file for how many private
+    files have any: their paths stay out. ``results``: path, private and the array."""
+    held = results.filter(F.size(defects) > 0)
+    public = held.filter("NOT private").select(F.col("path").alias("file"), F.explode(defects).alias("defect"))
+    private = held.filter("private").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    return public.unionByName(private.select(F.lit(None).cast("string").alias("file"), F.concat(F.col("n").cast("string"), F.lit(" private files")).alias("defect")))
+
+
+def merge_defects(results: DataFrame) -> DataFrame:
+    """Of round trips: merged ranges that were lost or came to be. ``results``: path, private, merge_defects."""
+    return file_defects(results, "merge_defects")
+
+
+def read_back_defects(results: DataFrame) -> DataFrame:
+    """Exports that came back clean here but that another reader does not open. ``results``: path, private, status, total,
+    value_matched, extra, merges_equal, reread_ok, reread_error."""
+    clean = (F.col("status") == "compared") & (F.col("value_matched") == F.col("total")) & (F.col("extra") == 0) & F.col("merges_equal")
+    wrong = F.when(clean & ~F.col("reread_ok"), F.array(F.coalesce("reread_error", F.lit("unknown"))))
+    return file_defects(results.withColumn("__wrong", F.coalesce(wrong, F.array().cast("array<string>"))), "__wrong")
+
+
+def bucket_sections(buckets: DataFrame, top: int = 20) -> DataFrame:
+    """The same for mismatch buckets; ``buckets``: (path, private, bucket, n), values by pairs of types or displays by format."""
+    return scoreboard.triage(buckets.select("path", "private", F.col("bucket").alias("category"), "n"), top)
+
+
 def show_ratio(matched: int | None, total: int | None) -> str:
     return "—" if not total else f"{100 * (matched or 0) / total:.2f}% ({matched or 0}/{total})"
 
@@ -107,3 +150,41 @@ def scoreboard_markdown(row) -> str:
         ("cached results", show_ratio(row.cached_matched, row.cached_total)), ("time p50 / p95", f"{show_ms(row.ms_p50)} / {show_ms(row.ms_p95)}"), ("memory p50 / max", f"{show_bytes(row.rss_p50)} / {show_bytes(row.rss_max)}"),
     ]
     return "| metric | value |\n|---|---|\n" + "".join(f"| {a} | {b} |\n" for a, b in lines)
+
+
+def _table(head: tuple[str, ...], rows: list[tuple]) -> str:
+    line = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|") for c in cells) + " |\n"
+    return line(head) + "|" + "---|" * len(head) + "\n" + "".join(line(r) for r in rows)
+
+
+def extensions_markdown(metrics: DataFrame) -> str:
+    """A row for each extension of :func:`per_extension` (there are few)."""
+    rows = [(r.ext, r.files, show_ratio(r.opened, r.files), show_ratio(r.value_matched, r.value_total), show_ratio(r.display_matched, r.display_total), show_ratio(r.formula_matched, r.formula_total)) for r in per_extension(metrics).collect()]
+    return _table(("extension", "files", "opened", "values", "displays", "formulas"), rows)
+
+
+def formats_markdown(coverage: DataFrame, top: int = 20) -> str:
+    """The first formats of :func:`scoreboard.format_coverage`."""
+    rows = [(f"`{r.code}`", "—" if r.corpus_count is None else r.corpus_count, r.files, show_ratio(r.covered, r.cells)) for r in coverage.limit(top).collect()]
+    return _table(("format", "in the corpus", "files", "covered"), rows)
+
+
+def round_trip_markdown(row) -> str:
+    """The round-trip part of one :func:`round_trip_row`."""
+    rows = [
+        ("files clean", show_ratio(row.clean, row.files)), ("values", show_ratio(row.value_matched, row.total)), ("displays", show_ratio(row.display_matched, row.total)),
+        ("extra cells", row.extra), ("failed", row.failed), ("read back", show_ratio(row.reread_ok, row.reread_tried)), ("opened by an office suite", show_ratio(row.soffice_ok, row.soffice_tried)),
+    ]
+    return _table(("metric", "value"), rows)
+
+
+def triage_markdown(title: str, section: DataFrame) -> str:
+    """A section of (category, n, private_n, examples) or of (file, defect)."""
+    rows = section.collect()  # a section lists at most its top categories
+    if not rows:
+        return f"## {title}\n\nNothing was found.\n"
+    if "defect" in section.columns:
+        body = _table(("file", "defect"), [("private" if r.file is None else f"`{r.file}`", r.defect) for r in sorted(rows, key=lambda r: (r.file is None, r.file or "", r.defect))])
+    else:
+        body = _table(("category", "cells", "of private files", "files"), [(f"`{r.category}`", r.n, r.private_n, ", ".join(f"`{p}`" for p in r.examples)) for r in rows])
+    return f"## {title}\n\n{body}"

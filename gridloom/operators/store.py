@@ -147,8 +147,9 @@ def intern_styles(cells: DataFrame, fields: list[str]) -> tuple[DataFrame, DataF
     key = F.struct(*fields)
     used = cells.filter(~default).groupBy(*book, *fields).agg(F.min(F.struct(*schema.KEY)).alias("__at"))
     styles = used.withColumn("style_id", (F.row_number().over(Window.partitionBy(*book).orderBy("__at")) - 1).cast("int")).drop("__at")
-    same = [cells[f].eqNullSafe(styles[f]) for f in [*book, *fields]]
-    joined = cells.join(styles, same, "left").select(*[cells[c] for c in cells.columns if c not in fields], styles["style_id"].alias("s"))
+    named = styles.select("style_id", *[F.col(f).alias(f"__{f}") for f in [*book, *fields]])
+    same = [F.col(f).eqNullSafe(F.col(f"__{f}")) for f in [*book, *fields]]
+    joined = cells.join(named, same, "left").select(*[F.col(c) for c in cells.columns if c not in fields], F.col("style_id").alias("s"))
     return joined, styles.select(*book, "style_id", *fields)
 
 

@@ -127,7 +127,11 @@ def payload_defects(entries: DataFrame, files: DataFrame) -> DataFrame:
 
 def file_hashes(spark, path: str, pattern: str = "*") -> DataFrame:
     """(path, length, sha256) of the files below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return hashed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path))
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """(path, length, sha256) of ``files`` (path, length, content)."""
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

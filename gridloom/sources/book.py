@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 from gridloom.functions import formula, numfmt
-from gridloom.sources.rails import Limits
+from gridloom.sources.rails import Limits, check_extent
 
 #: Errors by the byte that binary files store.
 ERROR_BYTES = {0x00: "#NULL!", 0x07: "#DIV/0!", 0x0F: "#VALUE!", 0x17: "#REF!", 0x1D: "#NAME?", 0x24: "#NUM!", 0x2A: "#N/A", 0x2B: "#GETTING_DATA"}
@@ -72,6 +72,7 @@ def finish(book: Book, limits: Limits) -> Book:
         cells = [unique[k] for k in sorted(unique)]
         sheet.rows = max(sheet.rows, cells[-1][0] + 1 if cells else 0)
         sheet.cols = max(sheet.cols, max((x[1] for x in cells), default=-1) + 1)
+        check_extent(sheet.rows, sheet.cols, limits)
         sheet.truncated = len(cells) > left
         kept = cells[:left]
         left -= len(kept)

@@ -14,6 +14,19 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
 
 
+def manifest_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(line, rule) of the lines that a strict manifest may not have: blank ones, ones that are no JSON object, and objects
+    that lack a field or have one too many (the rule names the fields)."""
+    names = F.array(*[F.lit(x.split()[0]) for x in MANIFEST.split(", ")])
+    keys = F.json_object_keys("value")
+    list_of = lambda what, a: F.when(F.size(a) > 0, F.concat(F.lit(what + ": "), F.array_join(F.array_sort(a), ", ")))
+    rules = F.when(F.trim("value") == "", F.array(F.lit("blank"))).when(keys.isNull(), F.array(F.lit("no object"))).otherwise(
+        F.array(list_of("missing", F.array_except(names, keys)), list_of("unknown", F.array_except(keys, names)))
+    )
+    lines = spark.read.text(path)
+    return lines.select(F.col("value").alias("line"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
+
+
 def overrides(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of {sheet, r, c, v or f} as (ord, sheet, r, c, t, vn, vs, vb, f). The element's text tells a number
     from a string that looks like one; an entry needs ``v`` unless it has ``f``."""

@@ -151,11 +151,11 @@ class Compound:
 
     def __init__(self, content: bytes):
         if content[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" or len(content) < 512:
-            raise Refused("unsupported", "not a compound file")
+            raise Refused("bad_zip", "not a compound file")
         self.data = content
         shift, mini_shift = struct.unpack_from("<HH", content, 30)
         if shift not in (9, 12) or mini_shift != 6:
-            raise Refused("unsupported", "odd sector sizes")
+            raise Refused("bad_zip", "odd sector sizes")
         self.size, self.mini_size = 1 << shift, 64
         _, first_dir, _, cutoff, first_mini, n_mini, first_difat, n_difat = struct.unpack_from("<8I", content, 44)
         self.cutoff = cutoff
@@ -192,7 +192,7 @@ class Compound:
     def sector(self, k: int) -> bytes:
         at = (k + 1) * self.size
         if at >= len(self.data):
-            raise Refused("unsupported", "a sector lies outside the file")
+            raise Refused("bad_zip", "a sector lies outside the file")
         return self.data[at : at + self.size].ljust(self.size, b"\0")
 
     def chain(self, first: int) -> bytes:
@@ -203,7 +203,7 @@ class Compound:
                 raise Refused("bomb", "a chain of sectors loops")
             out.append(self.sector(at))
             if at >= len(self.fat):
-                raise Refused("unsupported", "a sector is not in the table")
+                raise Refused("bad_zip", "a sector is not in the table")
             at = self.fat[at]
         return b"".join(out)
 
@@ -221,4 +221,4 @@ class Compound:
                     out.append(self.pool[at * 64 : at * 64 + 64])
                     at = self.mini[at]
                 return b"".join(out)[:size]
-        raise Refused("unsupported", "the workbook stream is missing")
+        raise Refused("bad_zip", "the workbook stream is missing")

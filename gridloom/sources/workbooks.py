@@ -126,10 +126,14 @@ class Workbooks:
 
 def read(spark: SparkSession, path: str | list[str], limits: Limits = Limits(), pattern: str | None = None) -> Workbooks:
     """Every file at ``path`` (a file, folder or glob)."""
-    ready(spark)
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     source = source.option("pathGlobFilter", pattern) if pattern else source
-    files = source.load(path)
+    return from_files(source.load(path), limits)
+
+
+def from_files(files: DataFrame, limits: Limits = Limits()) -> Workbooks:
+    """Every file of ``files`` (path, length, content)."""
+    ready(files.sparkSession)
     small = files.select("path", "length", F.when(F.col("length") <= limits.max_bytes, F.col("content")).alias("content"))
     # The Arrow batch of a task holds one file's bytes at a time.
     rows = small.repartition("path").mapInPandas(_parser(limits), _ROW).persist()

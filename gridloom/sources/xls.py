@@ -21,7 +21,7 @@ def records(stream: bytes, at: int = 0) -> Iterator[tuple[int, bytes, int]]:
         if kind == 0 and size == 0:
             return
         if at + 4 + size > len(stream):
-            raise Refused("unsupported", "a record is cut short")
+            raise Refused("bad_zip", "a record is cut short")
         n += 1
         if n > MAX_RECORDS:
             raise Refused("bomb", "too many records")
@@ -31,7 +31,7 @@ def records(stream: bytes, at: int = 0) -> Iterator[tuple[int, bytes, int]]:
 
 def need(data: bytes, n: int) -> None:
     if len(data) < n:
-        raise Refused("unsupported", "a record is too short")
+        raise Refused("bad_zip", "a record is too short")
 
 
 def text16(data: bytes, at: int, count: int) -> tuple[str, int]:
@@ -125,6 +125,10 @@ def read(content: bytes, limits: Limits) -> Book:
             need(data, 8)
             name = text16(data, 7, data[6])[0] if version >= 0x0600 else data[7 : 7 + data[6]].decode("latin-1")
             sheets.append((struct.unpack_from("<I", data)[0], data[5], name))
+        elif kind == 0x0018:
+            need(data, 6)
+            if struct.unpack_from("<H", data, 4)[0] > len(data):
+                raise Refused("bad_zip", "a name's formula is longer than its record")
         elif kind == 0x00FC:
             table = [data]
         elif kind == 0x000A:
@@ -136,7 +140,7 @@ def read(content: bytes, limits: Limits) -> Book:
         if kind:
             book.warnings.append(f"sheet {name!r} is not a worksheet and is empty here")
         elif start >= len(stream):
-            raise Refused("unsupported", "a sheet lies outside the stream")
+            raise Refused("bad_zip", "a sheet lies outside the stream")
         else:
             _sheet(stream, start, sheet, strings, [codes.get(k) for k in formats], book.date_1904, limits, clock)
         book.sheets.append(sheet)
@@ -200,9 +204,19 @@ def _sheet(stream: bytes, start: int, sheet: Sheet, strings: list[str], codes: l
             r, c, xf, f = waiting
             put(r, c, xf, "s", text16(data, 2, struct.unpack_from("<H", data)[0])[0], f)
             waiting = None
+        elif kind == 0x0200:
+            need(data, 12)
+            _, rows, _, cols = struct.unpack_from("<IIHH", data)
+            check_extent(rows, cols, limits)
+        elif kind == 0x00BE:
+            need(data, 6)
+            check_extent(struct.unpack_from("<H", data)[0] + 1, struct.unpack_from("<H", data, len(data) - 2)[0] + 1, limits)
         elif kind == 0x00BD:
             need(data, 6)
             r, c = struct.unpack_from("<HH", data)
+            last = struct.unpack_from("<H", data, len(data) - 2)[0]
+            if last < c or len(data) != 6 + 6 * (last - c + 1):
+                raise Refused("bad_zip", "a row of numbers does not have as many as it says")
             for k in range((len(data) - 6) // 6):
                 xf, rk = struct.unpack_from("<HI", data, 4 + 6 * k)
                 put(r, c + k, xf, "n", packed_number(rk))

@@ -164,7 +164,7 @@ def _sheet(package: _Package, data: bytes, sheet: Sheet, strings: list[str], for
             at = parse_cell(a.get("r", "")) or (state["row"], state["col"] + 1)
             state["row"], state["col"] = at
             cell.clear()
-            cell.update(at=at, t=a.get("t", "n"), s=_number(a.get("s"), int) or 0, v=None, f=None, inline=None)
+            cell.update(at=at, declared="t" in a, t=a.get("t", "n"), s=_number(a.get("s"), int) or 0, v=None, f=None, inline=None)
         elif tag == "row":
             r = _number(a.get("r"), int)
             state["row"], state["col"] = (r - 1 if r else state["row"] + 1), -1
@@ -248,7 +248,7 @@ def _sheet(package: _Package, data: bytes, sheet: Sheet, strings: list[str], for
             if value == "" and f is None:
                 value = None
             if value is None and f is not None:
-                kind = _DECLARED.get(t, "s") if "t" in cell and raw is None else kind
+                kind = _DECLARED.get(t, "s") if cell["declared"] else "s" if raw is None else kind
             made = normal_cell(r, c, kind, value, f, code, epoch_1904, style)
             if made and len(sheet.cells) <= budget:
                 sheet.cells.append(made)

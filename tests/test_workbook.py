@@ -55,7 +55,7 @@ def test_recalc_and_exports(spark, book_path, tmp_path):
     out = str(tmp_path / "o.csv")
     said = book.export_csv(out, 0, [{"sheet": 0, "r": 0, "c": 0, "v": 4}, {"sheet": 1, "r": 0, "c": 0, "v": 1}])
     text = open(out, newline="").read()
-    assert said["applied"] == 1 and text.startswith('4,8.00,9\r\n"a,""b""",TRUE,\r\n') and text.count("\r\n") == 4
+    assert said["applied"] == 1 and text.startswith('4.00,8.00,9\r\n"a,""b""",TRUE,\r\n') and text.count("\r\n") == 4
     out = str(tmp_path / "o.xlsx")
     book.export_xlsx(out, [{"sheet": 0, "r": 0, "c": 0, "v": 10}, {"sheet": 0, "r": 9, "c": 0, "f": "=SUM(A1:B1)"}], [(0, "col", 0, 400.0)])
     again = open_workbook(spark, out)
