@@ -157,10 +157,9 @@ def _score(weights: np.ndarray, fallback: float):
     return run
 
 
-def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row for each document: ``id_col``, score (0 to 1), keep. ``fit_rows`` bounds the documents that the scorer
-    is fitted on; the labellers' accuracies come from all."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def learn_scorer(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float] | None:
+    """(weights of the scorer, estimated share of good documents) of ``rows`` (id, text); None without any text of words. The
+    weights are all 0 where nothing tells good documents from bad ones."""
     unit = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text"), F.lit("fit"))
     names = list(labellers())
     measured = rows.filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
@@ -168,11 +167,11 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     voted = cut(measured.select("__u", *[v.alias(n) for n, v in labellers().items()]))
     patterns = [(tuple(r[:-1]), float(r[-1])) for r in voted.groupBy(*names).count().collect()]  # <= 3**labellers
     if not patterns:
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
+        return None
     share, sure_good, sure_bad = estimate(patterns)
     grid = np.array([[np.nan if v is None else v for v in p] for p, _ in patterns], dtype=float)
     post, count = posterior(grid, share, sure_good, sure_bad), np.array([c for _, c in patterns])
-    table = docs.sparkSession.createDataFrame([(*p, float(v)) for (p, _), v in zip(patterns, post)], ", ".join(f"{n} int" for n in names) + ", post double")
+    table = rows.sparkSession.createDataFrame([(*p, float(v)) for (p, _), v in zip(patterns, post)], ", ".join(f"{n} int" for n in names) + ", post double")
     rated = voted.join(F.broadcast(table), [voted[n].eqNullSafe(table[n]) for n in names]).select("__u", "post")
     half = -(-fit_rows // 2)
     first = lambda df: df.orderBy("__u").limit(half)  # noqa: E731  top rows of each task, then of all: bounded
@@ -187,6 +186,17 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weights, good = np.zeros(BUCKETS + 1), y >= 0.5
     if good.any() and not good.all():
         weights = fit(x, y, np.where(good, count[post >= 0.5].sum() / good.sum(), count[post < 0.5].sum() / (~good).sum()))
+    return weights, share
+
+
+def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """One row for each document: ``id_col``, score (0 to 1), keep. ``fit_rows`` bounds the documents that the scorer
+    is fitted on; the labellers' accuracies come from all."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    learnt = learn_scorer(rows, fit_rows)
+    if learnt is None:
+        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
+    weights, share = learnt
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInPandas(_score(weights, share), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).alias("keep"))

@@ -562,3 +562,34 @@ def test_quality_of_long_texts_ties_and_rare_junk(spark):
     assert sum(got[k].keep for k in range(0, 3000, 300)) <= 1 and sum(got[k].keep for k in range(3000) if k % 300) > 2950
     assert got[9000].keep and got[9001].score == got[9002].score and not got[9003].keep and got[9003].score == 0
     assert quality.keep_good(docs, fit_rows=400).columns == docs.columns
+
+
+def test_quality_by_hand(spark, sf):
+    """Votes of every document, the patterns' counts and the scores, worked out in plain Python on the whole small table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ready(spark)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+    def votes(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, size = max(1, len(words)), max(1, len(t))
+        share = lambda pattern: len(re.findall(pattern, t)) / n
+        capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]{2,}", t)) / n
+        odd = sum(not (c.isalpha() or c in " \t\n\v\f\r.,;:?'-") for c in t) / size
+        kinds, each, enough = len(set(re.split(r"[\x20\x09-\x0D]+", t.lower()))) / n, size / n, n >= 8
+        first = lambda bad, good: 0 if bad else 1 if good else None
+        return (
+            0 if share(r"[#$%&*@^~=+<>]{2,}") > 0.15 else None, 0 if t.count("|") / n > 0.15 else None, 0 if t.count("!!") / n > 0.15 else None,
+            0 if enough and len(re.findall(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D](?=\1[\x20\x09-\x0D])", t)) / n > 0.15 else None,
+            first(enough and capitals > 0.25, enough and capitals < 0.05), first(odd > 0.06, odd < 0.03), first(enough and kinds < min(0.3, 3 / n**0.5), enough and kinds > 0.4), first(each < 2.5 or each > 14, enough and 3.5 < each < 11),
+        )
+
+    measured = docs.select("doc_id", *[m.alias(k) for k, m in quality.measures(F.col("text")).items()])
+    got = {r[0]: tuple(r[1:]) for r in measured.select("doc_id", *[v.alias(k) for k, v in quality.labellers().items()]).collect()}
+    assert got == {i: votes(t) for i, t in texts.items()}
+    weights, share = quality.learn_scorer(docs.select(F.col("doc_id").alias("id"), "text"))
+    counts = Counter(votes(t) for t in texts.values() if t.strip())
+    assert share == pytest.approx(quality.estimate([(p, float(n)) for p, n in counts.items()])[0], abs=1e-9)
+    for r in quality.weak_label_quality(docs).collect():
+        z = float(np.dot(quality.features(texts[r.doc_id]).astype(float), weights[:-1].astype(float)) + weights[-1])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-4 and r.keep == (r.score >= 0.5)
